@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import quality_forest, secret_scan
+from . import quality_forest, secret_scan, token_cache
+from .common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, from a cache that starts empty."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_cache.count_tokens(_table(spark, sf_dir, "documents"), path, new_folder(spark, "token-cache"), limit=512)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
@@ -25,6 +32,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_token_cache": op6_token_cache,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality_forest": op9_quality_forest,
 }
