@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_forest, secret_scan, token_cache
+from . import quality_forest, secret_scan, token_cache, toxicity
 from .common import new_folder
 
 
@@ -24,6 +24,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels outside the held-out third."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and the forest's verdict on every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -34,6 +40,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_token_cache": op6_token_cache,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_forest": op9_quality_forest,
 }
 
