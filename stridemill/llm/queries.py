@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_forest, secret_scan, token_cache, toxicity
+from . import quality_forest, secret_scan, simhash, token_cache, toxicity
 from .common import new_folder
 
 
@@ -13,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, from a cache that starts empty."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +45,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op6_token_cache": op6_token_cache,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
