@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_forest, secret_scan, simhash, token_cache, toxicity
+from . import packing, quality_forest, secret_scan, simhash, token_cache, toxicity
 from .common import new_folder
 
 
@@ -20,6 +20,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, packed into sequences of 4096."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
 def op6_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, from a cache that starts empty."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +51,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op5_packing": op5_packing,
     "op6_token_cache": op6_token_cache,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,

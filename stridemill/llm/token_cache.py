@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import slices, text_rows
 from .pieces import Pieces
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -45,7 +45,7 @@ def encoder(path: str) -> Pieces:
 
 def _count(path: str):
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in slices(stream):
             n, _ = encoder(path).encode(batch.column("text").cast(pa.string()), False)
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n)], ["digest", "n_tokens"])
 
