@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_forest, secret_scan, simhash, token_cache, toxicity
+from . import packing, quality_forest, secret_scan, simhash, suffix_dedup, token_cache, toxicity
 from .common import new_folder
 
 
@@ -49,6 +49,11 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(docs, verdicts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once later occurrences of 100-byte strings have gone."""
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
@@ -56,6 +61,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_quality_forest": op9_quality_forest,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
