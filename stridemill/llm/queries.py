@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_forest, secret_scan, simhash, suffix_dedup, token_cache, toxicity
+from . import packing, quality_forest, secret_scan, simhash, suffix_dedup, threshold_topk, token_cache, toxicity
 from .common import new_folder
 
 
@@ -20,6 +20,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth."""
+    vectors = threshold_topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return threshold_topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, packed into sequences of 4096."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
@@ -56,6 +62,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_threshold_topk": op4_threshold_topk,
     "op5_packing": op5_packing,
     "op6_token_cache": op6_token_cache,
     "op7_secret_scan": op7_secret_scan,
@@ -64,4 +71,15 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_threshold_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
