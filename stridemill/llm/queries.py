@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_forest, secret_scan, simhash, suffix_dedup, threshold_topk, token_cache, toxicity
+from . import packing, quality_forest, secret_scan, simhash, suffix_dedup, threshold_topk, token_cache, toxicity, warc_derivatives
 from .common import new_folder
 
 
@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and the conversion record of every page."""
+    records = warc_derivatives.responses(_table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z")
+    return warc_derivatives.derivatives(records).withColumnRenamed("source_id", "page_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -61,6 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op3_simhash": op3_simhash,
     "op4_threshold_topk": op4_threshold_topk,
     "op5_packing": op5_packing,
@@ -71,7 +78,47 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+
+
+def _warc_sql() -> str:
+    w = warc_derivatives
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    crlf = "chr(13) || chr(10)"
+    uuid = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
+    replaced = lambda x, pattern, by: f"regexp_replace({x}, {quoted(pattern)}, {by}, 'g')"
+    text = replaced("payload", w.HIDDEN, "' '")
+    text = replaced(text, "[ \\t\\r\\n\\f]+", "' '")
+    text = replaced(replaced(text, w.BREAKS, "chr(10)"), "(?s)<[/!?a-zA-Z][^>]*>", "''")
+    for entity, char in w.ENTITIES:
+        text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
+    text = replaced(replaced(replaced(text, "  +", "' '"), " ?\n[ \n]*", "chr(10)"), "^[ \n]+|[ \n]+$", "''")
+    one_line = lambda x: f"trim({replaced(x, '[ \\t\\r\\n]+', "' '")})"
+    headers = f"'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || {crlf}"
+    return f"""
+WITH r AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, {headers} AS http_headers,
+    md5('response|' || coalesce(url, '') || '|' || coalesce(CAST(page_id AS VARCHAR), '')) AS h FROM pages
+), s AS (
+  SELECT *, {uuid("h")} AS refers_to, 'sha256:' || sha256(payload) AS source_payload_digest, 'sha256:' || sha256(http_headers || payload) AS source_block_digest,
+    regexp_extract_all(payload, {quoted(w.LINK)}, 1) AS links FROM r
+), b AS (
+  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    'title: ' || {one_line(f"regexp_extract(payload, {quoted(w.TITLE)}, 1)")} || {crlf}
+    || 'language: ' || regexp_extract(payload, {quoted(w.LANGUAGE)}, 1) || {crlf}
+    || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-block-digest: ' || source_block_digest || {crlf}
+    || 'source-headers: ' || {one_line("http_headers")} || {crlf}
+    || coalesce(array_to_string(list_transform(links, lambda u: 'outlink: ' || u || {crlf}), ''), '') AS block FROM s
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM s
+), i AS (SELECT *, md5(warc_type || '|' || refers_to) AS g FROM b)
+SELECT page_id, warc_type, {uuid("g")} AS record_id, refers_to, target_uri, '2024-01-01T00:00:00Z' AS date, content_type,
+  CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_payload_digest, source_block_digest,
+  CAST(len(links) AS BIGINT) AS n_links, block FROM i
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_derivatives": _warc_sql(),
     "op4_threshold_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
