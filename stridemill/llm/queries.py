@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_forest, secret_scan, simhash, suffix_dedup, threshold_topk, token_cache, toxicity, warc_derivatives
+from . import mixing, packing, quality_forest, secret_scan, simhash, suffix_dedup, threshold_topk, token_cache, toxicity, warc_derivatives
 from .common import new_folder
 
 
@@ -20,6 +20,15 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derivatives(records).withColumnRenamed("source_id", "page_id")
 
 
+#: Languages get fixed shares; sources and topics are flattened.
+MIX_TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "source": 0.5, "topic": 0.7}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's calibrated probability and whether it's sampled."""
+    return mixing.probabilities(_table(spark, sf_dir, "documents"), mixing.form_topic(F.col("text")), MIX_TARGETS)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -68,6 +77,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_threshold_topk": op4_threshold_topk,
     "op5_packing": op5_packing,
