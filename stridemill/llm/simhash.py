@@ -9,6 +9,9 @@ orthogonal to all of theirs, so that table's mask avoids them and the two meet i
 Equal fingerprints are one row before any bucket is made. Within a bucket, fingerprints within the radius are compared
 in full and leave as spanning edges to the smallest id, never as all pairs.
 
+Edited copies move a fingerprint of long shingles by more than 4 bits, so ``near_duplicates`` can also take fingerprints of the
+distinct words, which edits hardly move, and have every pair that meets checked by a 256-bit fingerprint of the shingles.
+
 Defined results: documents without words have the zero fingerprint and are linked like any other; null texts are empty;
 texts are read whole; rows with a null id are left out; rows that share an id count as one node; an empty table gives
 an empty table; other columns are ignored.
@@ -30,31 +33,57 @@ from .components import components
 BITS = 64
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
     line = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True)], "<u8")
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True)], "<u8")
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """One 64-bit number with the bits that over half the hashes have."""
     total = np.zeros(BITS, np.int64)
-    for k in range(0, n, 65_536):
+    for k in range(0, len(h), 65_536):
         total += np.unpackbits(h[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0]
+
 
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return int(_majority(_hashes(words, shingle, seed))) if words else 0
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
+def word_fingerprint(text: str, shingle: int, seed: int = 42) -> tuple[int, bytes]:
+    """The fingerprint of the distinct words, and 256 bits of the shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, bytes(32)
+    h = _hashes(words, shingle, seed)
+    wide = [_majority(h)]
+    for k in (1, 2, 3):  # further hashes by bijections of the first
+        x = (h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        wide.append(_majority((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (x >> np.uint64(32))))
+    return int(_majority(_hashes(sorted(set(words)), 1, seed))), np.array(wide, "<u8").tobytes()
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: the fingerprint's 64 bits as a long)."""
-    return text_rows(docs, id_col, text_col).filter("doc_id IS NOT NULL").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+
+def _fingerprint_batches(shingle: int, words: bool):
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            texts = batch.column("text")
+            got = [word_fingerprint(t.as_py(), shingle) if words else (fingerprint(t.as_py(), shingle), b"") for t in texts]
+            prints = np.array([g[0] for g in got], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "fp", "wide"])
+
+    return batches
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp: a fingerprint's 64 bits as a long, wide: with ``words`` 256 bits of the shingles, else empty)."""
+    rows = text_rows(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    return rows.mapInArrow(_fingerprint_batches(shingle, words), "doc_id long, fp long, wide binary")
 
 
 def masks(radius: int) -> list[int]:
@@ -69,8 +98,13 @@ def masks(radius: int) -> list[int]:
 SMALL = 32
 
 
-def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: np.ndarray, wide: np.ndarray, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges (node, smallest node of its component) within buckets; rows of a bucket are sorted by node."""
+
+    def linked(x, y):
+        near = np.bitwise_count(fp[x] ^ fp[y]) <= radius
+        return near & (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= check) if wide.shape[1] else near
+
     label = np.arange(len(fp))
     a, b = [], []
     for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
@@ -78,7 +112,7 @@ def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: n
         rows = starts[sizes == size]
         for k in range(0, len(rows), max(1, 2_000_000 // len(i))):
             x, y = (rows[k : k + max(1, 2_000_000 // len(i)), None] + i).ravel(), (rows[k : k + max(1, 2_000_000 // len(i)), None] + j).ravel()
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= radius
+            near = linked(x, y)
             a.append(x[near])
             b.append(y[near])
     if a:
@@ -95,7 +129,7 @@ def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: n
             root, todo = rest[0], [rest[0]]
             rest = rest[1:]
             while todo and len(rest):
-                near = np.bitwise_count(fp[rest] ^ fp[todo.pop()]) <= radius
+                near = linked(rest, todo.pop())
                 if near.any():
                     label[rest[near]] = root
                     todo += rest[near].tolist()
@@ -104,43 +138,62 @@ def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: n
     return node[moved], node[label[moved]]
 
 
-def _edges(radius: int):
+def _edges(radius: int, check: int):
+    def found(cols: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+        """Edges of the buckets that start at ``bounds[:-1]``; the last bound is their end."""
+        n = int(bounds[-1])
+        wide = cols[4][:n]
+        u, v = _bucket_edges(bounds[:-1], np.diff(bounds), cols[2][:n].view(np.uint64), cols[3][:n], wide, radius, check)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         for batch in stream:
-            cols = [np.asarray(batch.column(k)) for k in range(4)]
+            if not len(batch):
+                continue
+            joined = b"".join(batch.column("wide").to_pylist())
+            cols = [*(np.asarray(batch.column(k)) for k in range(4)), np.frombuffer(joined, "<u8").reshape(len(batch), -1)]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-            table, key, fp, node = cols
-            if not len(fp):
-                continue
-            bounds = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
+            bounds = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
             last = int(bounds[-1]) if len(bounds) else 0  # the last bucket may go on in the next batch
             kept = [c[last:] for c in cols]
             if last:
-                starts = np.concatenate([[0], bounds[:-1]])
-                u, v = _bucket_edges(starts, np.diff(np.append(starts, last)), fp[:last].view(np.uint64), node[:last], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-        if kept is not None and len(kept[0]):
-            u, v = _bucket_edges(np.array([0]), np.array([len(kept[0])]), kept[2].view(np.uint64), kept[3], radius)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                yield found(cols, np.concatenate([[0], bounds]))
+        if kept is not None:
+            yield found(kept, np.array([0, len(kept[0])]))
 
     return batches
 
 
-def links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (u, v) that connect just the fingerprints linked within ``radius``. ``prints``: fp, distinct, and node."""
+def links(prints: DataFrame, radius: int = 4, check: int = 0) -> DataFrame:
+    """Edges (u, v) that connect just the fingerprints linked within ``radius``. ``prints``: fp and wide, distinct, and node.
+
+    Where ``wide`` has bits, at most ``check`` of them may differ."""
     tables = F.array(*(F.struct(F.lit(n).alias("table"), F.lit(m).alias("mask")) for n, m in enumerate(masks(radius))))
-    rows = prints.select("fp", "node", F.explode(tables).alias("t")).select(
-        F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp", "node"
+    rows = prints.select("fp", "node", "wide", F.explode(tables).alias("t")).select(
+        F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp", "node", "wide"
     )
-    return rows.repartition("table", "key").sortWithinPartitions("table", "key", "node").mapInArrow(_edges(radius), "u long, v long")
+    return rows.repartition("table", "key").sortWithinPartitions("table", "key", "node").mapInArrow(_edges(radius, check), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: bool = False, check: int = 43, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` of every document; component_id is the smallest id that links reach.
+
+    With ``words``, distinct-word fingerprints meet in the tables and 256 bits of the shingles may differ in ``check``
+    places: 43 is the angle of two shingle sets of which 0.8 of the union is common, and a standard error more.
+    """
+    rows = stored(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    prints = stored(rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("node")), "prints")
+    found = components(links(prints, radius, check))
+    labels = stored(prints.join(found, "node", "left").select("fp", "wide", F.coalesce("component", "node").alias("component_id")), "labels")
+    return rows.join(labels, ["fp", "wide"]).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every document; component_id is the smallest id that links reach."""
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
-    found = components(links(prints, radius))
-    labels = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(stored(labels, "labels"), "fp").select("doc_id", "fp", "component_id")
+def without_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one document of every component, the one with the smallest id; rows with a null id all stay."""
+    found = near_duplicates(docs, **how)
+    extra = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
+    if not docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    return docs.join(extra.hint("shuffle_hash"), F.col("doc_id") == F.col("__extra"), "left_anti")
