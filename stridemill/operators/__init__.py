@@ -1 +1 @@
-
+"""Operators over indexed frames."""

@@ -1,21 +1,436 @@
-"""The query catalogue: name -> Spark query, and the DuckDB statement that checks it."""
+"""The query catalogue: name -> Spark query, and the DuckDB statement that checks it.
+
+T = 8 workers and C = 4 shards throughout.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..functions import split
+from ..operators import fold, loops, nbody, search
+from ..operators.sharded import ShardedVector
+from ..operators.vector import PositionalVector
+from ..sources.frame import KEY, IndexedFrame
+from .schedule import Dynamic, Static
+
+T, C = 8, 4
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _frame(spark: SparkSession, sf_dir: str, name: str, key: str) -> IndexedFrame:
+    return IndexedFrame.from_table(_table(spark, sf_dir, name), key)
+
+
+def _own(i: str, n: str, t: int) -> str:
+    """SQL for the owner of task ``i``."""
+    return f"CAST(CASE WHEN {i} < ({n}%{t})*({n}//{t}+1) THEN {i}//({n}//{t}+1) ELSE ({n}%{t})+({i}-({n}%{t})*({n}//{t}+1))//greatest({n}//{t},1) END AS BIGINT)"
+
+
+# Sources and scheduling
+
+
+@_query("SELECT range AS task_index FROM range(1000)")
+def range_source(spark, sf_dir):
+    return IndexedFrame.from_range(spark, 0, 1000).df
+
+
+@_query("SELECT range AS task_index FROM range(250,750)")
+def range_offset(spark, sf_dir):
+    return IndexedFrame.from_range(spark, 250, 750).df
+
+
+@_query("SELECT range AS task_index, range*range AS value FROM range(256)")
+def exact_iter(spark, sf_dir):
+    return IndexedFrame.from_indexer(spark, 256, lambda i: i * i).df
+
+
+@_query("SELECT k AS thread_index, n//8*k+least(k,n%8) AS first, n//8+CAST(k<n%8 AS BIGINT) AS count FROM range(8) r(k), (SELECT count(*) n FROM orders)")
+def split_ranges(spark, sf_dir):
+    return loops.split_ranges(spark, _frame(spark, sf_dir, "orders", "o_orderkey").length, T)
+
+
+@_query(f"SELECT o_orderkey AS task_index, {_own('o_orderkey', 'n', T)} AS thread_index FROM orders, (SELECT count(*) n FROM orders)")
+def for_n_owner(spark, sf_dir):
+    return loops.for_n(_frame(spark, sf_dir, "orders", "o_orderkey")).select(KEY, "thread_index")
+
+
+@_query(f"SELECT {_own('o_orderkey', 'n', T)} AS thread_index, min(o_orderkey) AS first, count(*) AS count FROM orders, (SELECT count(*) n FROM orders) GROUP BY 1")
+def for_n_coverage(spark, sf_dir):
+    return loops.for_slices(_frame(spark, sf_dir, "orders", "o_orderkey"))
+
+
+@_query("SELECT count(*) AS count, count(DISTINCT event_id) AS distinct_count, min(event_id) AS lo, max(event_id) AS hi FROM events")
+def for_n_dynamic_coverage(spark, sf_dir):
+    frame = _frame(spark, sf_dir, "events", "event_id").map().with_schedule(Dynamic(T))
+    return loops.coverage(loops.for_n_dynamic(frame))
+
+
+@_query("SELECT k AS thread_index, greatest(n-8,0)+k AS task_index FROM range(8) r(k), (SELECT count(*) n FROM orders) WHERE greatest(n-8,0)+k < n")
+def dynamic_static_tail(spark, sf_dir):
+    return loops.static_tail(spark, _frame(spark, sf_dir, "orders", "o_orderkey").length, T)
+
+
+@_query(f"SELECT {_own('o_orderkey', 'n', T)} AS thread_index, min(o_orderkey) AS first, count(*) AS count, round(sum(o_totalprice),2) AS total FROM orders, (SELECT count(*) n FROM orders) GROUP BY 1")
+def for_slices(spark, sf_dir):
+    return loops.for_slices(_frame(spark, sf_dir, "orders", "o_orderkey"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@_query(f"SELECT {_own('CAST(r_regionkey AS BIGINT)', 'n', T)} AS thread_index, CAST(min(r_regionkey) AS BIGINT) AS first, count(*) AS count FROM region, (SELECT count(*) n FROM region) GROUP BY 1")
+def for_slices_sparse(spark, sf_dir):
+    return loops.for_slices(_frame(spark, sf_dir, "region", "r_regionkey"))
+
+
+@_query(f"SELECT k AS thread_index, {_own('k', str(T), C)} AS colocation_index FROM range(8) r(k)")
+def for_threads(spark, sf_dir):
+    return loops.for_threads(spark, T, C)
+
+
+@_query(f"SELECT k AS thread_index, {_own('k', '10', C)} AS colocation_index, CAST(k - (10//4*{_own('k', '10', C)}+least({_own('k', '10', C)},10%4)) AS BIGINT) AS local_thread FROM range(10) r(k)")
+def locate_thread(spark, sf_dir):
+    return loops.located_threads(spark, 10, C)
+
+
+@_query("SELECT c AS colocation_index, n//4*c+least(c,n%4) AS first, n//4+CAST(c<n%4 AS BIGINT) AS count FROM range(4) r(c), (SELECT count(*) n FROM events)")
+def colocation_split(spark, sf_dir):
+    return loops.split_ranges(spark, _frame(spark, sf_dir, "events", "event_id").length, C, "colocation_index")
+
 
+@_query("SELECT k AS step, 5+(k*7)%17 AS value FROM range(17) r(k)")
+def coprime_permutation(spark, sf_dir):
+    return spark.range(17).select(F.col("id").alias("step"), split.permuted_col(F.col("id"), 5, 17, 3).alias("value"))
+
+
+@_query("SELECT o_orderkey AS task_index, o_orderkey > 0 AND bit_count(o_orderkey) = 1 AS power, least(CAST(o_orderkey AS HUGEINT) + 9223372036854775000, 9223372036854775807)::BIGINT AS total FROM orders")
+def index_helpers(spark, sf_dir):
+    frame = _frame(spark, sf_dir, "orders", "o_orderkey")
+    i = F.col(KEY)
+    return frame.map(power=split.is_power_of_two_col(i), total=split.saturating_add_col(i, F.lit(9223372036854775000))).df
+
+
+# Adaptors and folds
+
+
+@_query("SELECT o_orderkey AS task_index, o_orderkey*2 AS value FROM orders")
+def map(spark, sf_dir):
+    return _frame(spark, sf_dir, "orders", "o_orderkey").map(value=F.col(KEY) * 2).df
+
+
+@_query("SELECT event_id AS task_index, value FROM events WHERE event_type='purchase'")
+def filter(spark, sf_dir):
+    return _frame(spark, sf_dir, "events", "event_id").filter(F.col("event_type") == "purchase").map(value=F.col("value")).df
+
+
+@_query("SELECT p_partkey AS task_index, p_partkey*p_partkey AS value FROM part WHERE p_partkey%2=0")
+def filter_map(spark, sf_dir):
+    return _frame(spark, sf_dir, "part", "p_partkey").filter(F.col(KEY) % 2 == 0).map(value=F.col(KEY) * F.col(KEY)).df
+
+
+@_query("SELECT a.event_id AS task_index, round(a.value+b.value,4) AS pair_sum FROM events a JOIN (SELECT (SELECT count(*) FROM events)-1-event_id AS event_id, value FROM events) b USING(event_id)")
+def zip(spark, sf_dir):
+    frame = _frame(spark, sf_dir, "events", "event_id").map(value=F.col("value"))
+    return frame.zip(frame.reversed()).map(pair_sum=F.round(F.col("left") + F.col("right"), 4)).df
+
+
+@_query(f"SELECT p_partkey AS task_index, {_own('p_partkey', 'n', T)} AS thread_index, {_own(_own('p_partkey', 'n', T), str(T), C)} AS colocation_index, p_retailprice AS value FROM part, (SELECT count(*) n FROM part)")
+def for_each_with_prong(spark, sf_dir):
+    return _frame(spark, sf_dir, "part", "p_partkey").map(value=F.col("p_retailprice")).with_prong(C).df.select(KEY, "thread_index", "colocation_index", "value")
+
+
+@_query(f"SELECT t.k AS thread_index, CAST(coalesce(s.v,0) AS BIGINT) AS slot FROM range(8) t(k) LEFT JOIN (SELECT {_own('o_orderkey', 'n', T)} k, sum(o_orderkey) v FROM orders, (SELECT count(*) n FROM orders) GROUP BY 1) s USING(k)")
+def fold_scratch(spark, sf_dir):
+    return fold.fold_with_scratch(_frame(spark, sf_dir, "orders", "o_orderkey"), True, {"slot": 0}, slot=F.sum(KEY))
+
+
+@_query("SELECT CAST(sum(o_orderkey*2) AS BIGINT) AS total, count(*) AS items FROM orders WHERE o_orderstatus='F'")
 def fold_total(spark, sf_dir):
-    """Filter, map, fold and combine over the orders."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return (
-        orders.filter(F.col("o_orderstatus") == "F")
-        .select((F.col("o_orderkey") * 2).alias("value"))
-        .agg(F.sum("value").alias("total"), F.count("*").alias("items"))
-    )
-
-
-QUERIES = {"fold_total": fold_total}
-ORACLE_SQL = {
-    "fold_total": "SELECT CAST(sum(o_orderkey*2) AS BIGINT) AS total, count(*) AS items FROM orders WHERE o_orderstatus='F'"
-}
+    frame = _frame(spark, sf_dir, "orders", "o_orderkey").filter(F.col("o_orderstatus") == "F").map(value=F.col(KEY) * 2)
+    return fold.fold_total(frame, total=F.sum("value"), items=F.count("*"))
+
+
+@_query(f"SELECT {_own('event_id', 'n', T)} AS thread_index, count(*) AS items, min(value) AS lo, max(value) AS hi FROM events, (SELECT count(*) n FROM events) GROUP BY 1")
+def fold_struct(spark, sf_dir):
+    return fold.fold_with_scratch(_frame(spark, sf_dir, "events", "event_id"), items=F.count("*"), lo=F.min("value"), hi=F.max("value"))
+
+
+@_query(f"SELECT {_own('o_orderkey', 'n', T)} AS thread_index, CAST(sum(o_orderkey) AS BIGINT) AS value FROM orders, (SELECT count(*) n FROM orders) GROUP BY 1")
+def fold_python(spark, sf_dir):
+    frame = _frame(spark, sf_dir, "orders", "o_orderkey").map(value=F.col(KEY))
+    return fold.fold_python(frame, lambda: 0, lambda s, rows: s + int(rows["value"].sum()), lambda a, b: a + b, "long", slots=T)
+
+
+@_query("SELECT p_partkey AS task_index, p_partkey*3 AS value FROM part WHERE p_partkey%3=1")
+def map_python(spark, sf_dir):
+    frame = _frame(spark, sf_dir, "part", "p_partkey").map(value=F.col(KEY))
+    return frame.filter_python(lambda rows: rows["value"] % 3 == 1).map_python(lambda rows: rows.assign(value=rows["value"] * 3), f"{KEY} long, value long").df
+
+
+@_query("SELECT o_orderkey AS task_index, CAST(2 AS BIGINT)*o_orderkey AS value FROM orders")
+def map_dynamic(spark, sf_dir):
+    return _frame(spark, sf_dir, "orders", "o_orderkey").map(value=F.col(KEY) * 2).with_schedule(Dynamic(T)).placed()
+
+
+@_query("SELECT o_orderkey AS task_index, CAST(2 AS BIGINT)*o_orderkey AS value FROM orders")
+def map_static(spark, sf_dir):
+    return _frame(spark, sf_dir, "orders", "o_orderkey").map(value=F.col(KEY) * 2).with_schedule(Static(T)).placed()
+
+
+# Sharded and positional vectors
+
+
+@_query("SELECT o_orderkey AS global_index, o_orderkey%4 AS colocation_index, o_orderkey//4 AS local_index FROM orders")
+def rr_placement(spark, sf_dir):
+    return ShardedVector.from_table(_table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", C).placement().drop("value")
+
+
+@_query("SELECT o_orderkey AS global_index, (o_orderkey//4)*4+o_orderkey%4 AS back FROM orders")
+def rr_inverse(spark, sf_dir):
+    return ShardedVector.from_table(_table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", C).inverse()
+
+
+@_query("SELECT c AS colocation_index, count(p_partkey) AS len FROM range(4) r(c) LEFT JOIN part ON p_partkey%4=c GROUP BY 1")
+def rr_len_at(spark, sf_dir):
+    return _parts(spark, sf_dir, "p_name").lengths()
+
+
+def _parts(spark, sf_dir, value) -> ShardedVector:
+    return ShardedVector.from_table(_table(spark, sf_dir, "part"), "p_partkey", value, C)
+
+
+@_query("SELECT p_partkey AS global_index, p_name AS value FROM part WHERE p_partkey%4=37%4 AND p_partkey//4=37//4")
+def rr_get(spark, sf_dir):
+    return _parts(spark, sf_dir, "p_name").get(37)
+
+
+@_query("SELECT p_partkey AS global_index, p_partkey%4 AS colocation_index, p_partkey//4 AS local_index, p_name AS value FROM part WHERE p_partkey%4=2")
+def rr_get_colocation(spark, sf_dir):
+    return _parts(spark, sf_dir, "p_name").shard(2)
+
+
+@_query("SELECT p_partkey AS global_index, p_partkey%4 AS colocation_index, p_partkey//4 AS local_index, p_size AS value FROM part WHERE p_partkey<50")
+def rr_resize_shrink(spark, sf_dir):
+    return _parts(spark, sf_dir, "p_size").resize(50, 0).placement()
+
+
+@_query("SELECT CAST(r_regionkey AS BIGINT) AS global_index, r_name AS value FROM region UNION ALL SELECT k, 'X' FROM range((SELECT count(*) FROM region),12) r(k)")
+def rr_resize_grow(spark, sf_dir):
+    return ShardedVector.from_table(_table(spark, sf_dir, "region"), "r_regionkey", "r_name", C).resize(12, "X").rows()
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS global_index, n_name AS value FROM nation")
+def rr_push_pop(spark, sf_dir):
+    vector = ShardedVector.from_table(_table(spark, sf_dir, "nation"), "n_nationkey", "n_name", C)
+    return vector.push("NEW").pop()[0].rows()
+
+
+@_query("SELECT p_partkey AS global_index, CAST(42 AS BIGINT) AS value FROM part")
+def rr_fill(spark, sf_dir):
+    return _parts(spark, sf_dir, "p_partkey").fill(42).rows()
+
+
+@_query("SELECT p_partkey AS global_index, p_partkey*p_partkey+1 AS value FROM part")
+def rr_fill_with(spark, sf_dir):
+    return _parts(spark, sf_dir, "p_partkey").fill_with(lambda g: g * g).update(lambda v: v + 1).rows()
+
+
+@_query("SELECT CAST(p_partkey AS BIGINT) AS global_index, p_name AS value FROM part WHERE false")
+def rr_clear(spark, sf_dir):
+    return _parts(spark, sf_dir, "p_name").clear().rows()
+
+
+def _regions(spark, sf_dir) -> PositionalVector:
+    return PositionalVector.from_table(_table(spark, sf_dir, "region"), "r_regionkey", "r_name")
+
+
+def _nations(spark, sf_dir) -> PositionalVector:
+    return PositionalVector.from_table(_table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+
+
+@_query("SELECT CAST(r_regionkey+CAST(r_regionkey>=2 AS INT) AS BIGINT) AS pos, r_name AS value FROM region UNION ALL SELECT 2,'NEW'")
+def vec_insert(spark, sf_dir):
+    return _regions(spark, sf_dir).insert(2, "NEW").df
+
+
+@_query("SELECT CAST(r_regionkey-CAST(r_regionkey>2 AS INT) AS BIGINT) AS pos, r_name AS value FROM region WHERE r_regionkey<>2")
+def vec_remove(spark, sf_dir):
+    return _regions(spark, sf_dir).remove(2)[0].df
+
+
+@_query("SELECT CAST(r_regionkey AS BIGINT) AS pos, r_name AS value FROM region UNION ALL SELECT (SELECT count(*) FROM region), 'NEW'")
+def vec_push(spark, sf_dir):
+    return _regions(spark, sf_dir).push("NEW").df
+
+
+@_query("SELECT r_name AS value FROM region WHERE r_regionkey = (SELECT max(r_regionkey) FROM region)")
+def vec_pop(spark, sf_dir):
+    return _regions(spark, sf_dir).pop()[1]
+
+
+@_query("SELECT CAST(CASE r_regionkey WHEN 1 THEN 3 WHEN 3 THEN 1 ELSE r_regionkey END AS BIGINT) AS pos, r_name AS value FROM region")
+def vec_swap(spark, sf_dir):
+    return _regions(spark, sf_dir).swap(1, 3).df
+
+
+@_query("SELECT (SELECT count(*) FROM nation)-1-n_nationkey AS pos, n_name AS value FROM nation")
+def vec_reverse(spark, sf_dir):
+    return _nations(spark, sf_dir).reverse().df
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS pos, n_name AS value FROM nation WHERE n_nationkey<10")
+def vec_truncate(spark, sf_dir):
+    return _nations(spark, sf_dir).truncate(10).df
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS pos, n_name AS value FROM nation UNION ALL SELECT (SELECT count(*) FROM nation)+r_regionkey, r_name FROM region")
+def vec_extend(spark, sf_dir):
+    return _nations(spark, sf_dir).extend(_regions(spark, sf_dir)).df
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS pos, n_name AS value FROM nation UNION ALL SELECT k, 'item ' || k FROM range(25,40) r(k)")
+def vec_resize_with(spark, sf_dir):
+    return _nations(spark, sf_dir).resize_with(40, lambda pos: F.concat(F.lit("item "), pos.cast("string"))).df
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS pos, n_name AS value FROM nation WHERE n_nationkey BETWEEN 3 AND 6")
+def vec_get_range(spark, sf_dir):
+    return _nations(spark, sf_dir).get(range(3, 7))
+
+
+@_query("SELECT arg_min(p_name,p_partkey) AS first, arg_max(p_name,p_partkey) AS last FROM part")
+def vec_first_last(spark, sf_dir):
+    return PositionalVector.from_table(_table(spark, sf_dir, "part"), "p_partkey", "p_name").first_last()
+
+
+@_query("SELECT count(*)>0 AS found FROM nation WHERE n_regionkey=3")
+def vec_contains(spark, sf_dir):
+    return PositionalVector.from_table(_table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey").contains(3)
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS pos, 'filled' AS value FROM nation")
+def vec_fill(spark, sf_dir):
+    return _nations(spark, sf_dir).fill("filled").df
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS pos, CAST(n_nationkey*n_nationkey AS BIGINT) AS value FROM nation")
+def vec_fill_with(spark, sf_dir):
+    return _nations(spark, sf_dir).fill_with(lambda pos: pos * pos).df
+
+
+# Vector search: twenty queries against all other vectors
+
+_SCORES = """SELECT q.vec_id AS query_id, e.vec_id AS best_index, list_inner_product(CAST(q.embedding AS DOUBLE[]),CAST(e.embedding AS DOUBLE[])) AS sim
+FROM embeddings q JOIN embeddings e ON q.vec_id<20 AND e.vec_id<>q.vec_id"""
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    corpus = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    dims = corpus.select(F.size("embedding")).first()[0]
+    # One small file is one partition, which would leave the scoring to one core.
+    return corpus.repartition("vec_id"), corpus.filter("vec_id < 20"), dims
+
+
+@_query(f"WITH s AS ({_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, best_index) rn FROM s WHERE NOT isnan(sim)) SELECT query_id, best_index, best_index%4 AS colocation_index, round(sim,6) AS best_similarity FROM r WHERE rn=1")
+def search_dot(spark, sf_dir):
+    corpus, queries, dims = _vectors(spark, sf_dir)
+    return search.search_dot(corpus, queries, C, dims).withColumn("best_similarity", F.round("best_similarity", 6))
+
+
+@_query("WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS best_index, 1-list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),CAST(e.embedding AS DOUBLE[])) AS dist FROM embeddings q JOIN embeddings e ON q.vec_id<20 AND e.vec_id<>q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, best_index) rn FROM s) SELECT query_id, best_index, round(dist,6) AS best_distance FROM r WHERE rn=1")
+def search_cosine(spark, sf_dir):
+    corpus, queries, dims = _vectors(spark, sf_dir)
+    return search.search_cosine(corpus, queries, dims).withColumn("best_distance", F.round("best_distance", 6))
+
+
+@_query(f"WITH s AS ({_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, best_index%4 ORDER BY sim DESC, best_index) rn FROM s) SELECT query_id, best_index%4 AS colocation_index, best_index, round(sim,6) AS best_similarity FROM r WHERE rn=1")
+def search_shard_best(spark, sf_dir):
+    corpus, queries, dims = _vectors(spark, sf_dir)
+    found = search.best(search.scored(corpus, queries, "dot", dims), by_shard=C)
+    return found.select("query_id", "colocation_index", "best_index", F.round("score", 6).alias("best_similarity"))
+
+
+@_query(f"WITH s AS ({_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, best_index) rn FROM s WHERE NOT isnan(sim)) SELECT query_id, best_index, best_index%4 AS colocation_index, round(sim,6) AS best_similarity FROM r WHERE rn=1")
+def search_sharded(spark, sf_dir):
+    corpus, queries, dims = _vectors(spark, sf_dir)
+    return search.search_sharded(corpus, queries, C, dims).withColumn("best_similarity", F.round("best_similarity", 6))
+
+
+@_query(f"SELECT round(avg(b),6) AS avg_similarity FROM (SELECT query_id, max(sim) b FROM ({_SCORES}) GROUP BY 1)")
+def search_avg_best(spark, sf_dir):
+    corpus, queries, dims = _vectors(spark, sf_dir)
+    return search.search_dot(corpus, queries, C, dims).agg(F.round(F.avg("best_similarity"), 6).alias("avg_similarity"))
+
+
+# N-body, 64 bodies made of parts
+
+_BODIES = """SELECT p_partkey AS id, (p_partkey*37%101)/101.0::DOUBLE AS x, (p_partkey*53%103)/103.0::DOUBLE AS y, (p_partkey*71%107)/107.0::DOUBLE AS z,
+0.5::DOUBLE AS vx, 0.25::DOUBLE AS vy, 0.125::DOUBLE AS vz, 1e6*(1+p_size)::DOUBLE AS m FROM part WHERE p_partkey<64"""
+_PULL = "6.674e-11*i.m*j.m*power((j.x-i.x)*(j.x-i.x)+(j.y-i.y)*(j.y-i.y)+(j.z-i.z)*(j.z-i.z)+1e-9,-1.5)"
+_FORCES = f"SELECT i.id, {', '.join(f'sum({_PULL}*(j.{a}-i.{a})) AS f{a}' for a in 'xyz')} FROM bodies i, bodies j GROUP BY 1"
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    i = F.col("p_partkey")
+    place = {a: ((i * k) % p / F.lit(float(p))).alias(a) for a, k, p in (("x", 37, 101), ("y", 53, 103), ("z", 71, 107))}
+    speed = [F.lit(v).alias(f"v{a}") for a, v in (("x", 0.5), ("y", 0.25), ("z", 0.125))]
+    return _table(spark, sf_dir, "part").filter(i < 64).select(i.alias("id"), *place.values(), *speed, (F.lit(1e6) * (1 + F.col("p_size"))).alias("m"))
+
+
+@_query(f"WITH bodies AS ({_BODIES}), f AS ({_FORCES}) SELECT id, round(fx,4) AS fx, round(fy,4) AS fy, round(fz,4) AS fz FROM f")
+def nbody_force(spark, sf_dir):
+    return nbody.forces(_bodies(spark, sf_dir)).select("id", *(F.round(f"f{a}", 4).alias(f"f{a}") for a in "xyz"))
+
+
+@_query(
+    f"WITH bodies AS ({_BODIES}), f AS ({_FORCES}) SELECT b.id, "
+    + ", ".join(f"round(b.v{a}+f.f{a}/b.m*0.01,8) AS v{a}, round(b.{a}+(b.v{a}+f.f{a}/b.m*0.01)*0.01,8) AS {a}" for a in "xyz")
+    + " FROM bodies b JOIN f USING(id)"
+)
+def nbody_step(spark, sf_dir):
+    stepped = nbody.step(_bodies(spark, sf_dir))
+    return stepped.select("id", *(F.round(c, 8).alias(c) for a in "xyz" for c in (f"v{a}", a)))
+
+
+@_query()
+def nbody_k_steps(spark, sf_dir):
+    return nbody.simulate(_bodies(spark, sf_dir), 3).select("id", *(F.round(c, 8).alias(c) for c in (*nbody.AXES, "vx", "vy", "vz")))
+
+
+# Runtime
+
+
+@_query()
+def topology(spark, sf_dir):
+    return runtime.topology(spark)
+
+
+@_query("SELECT k AS thread_index, CAST(k*k AS VARCHAR) AS value FROM range(4) r(k)")
+def broadcast_workers(spark, sf_dir):
+    return runtime.broadcast_to_workers(spark, 4, lambda k: k * k)
+
+
+@_query("SELECT CAST(1 AS BIGINT) AS pool, count(*) AS reached FROM orders UNION ALL SELECT 2, count(*) FROM events")
+def two_pools(spark, sf_dir):
+    """Two actions that overlap; the first to start is joined last."""
+    first = runtime.Action(lambda: _table(spark, sf_dir, "orders").count()).start()
+    second = runtime.Action(lambda: _table(spark, sf_dir, "events").count()).start()
+    reached = [(2, second.join()), (1, first.join())]
+    return spark.createDataFrame(reached, "pool long, reached long")

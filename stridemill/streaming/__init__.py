@@ -1 +1 @@
-
+"""The engine has no streaming operators of its own; indexed frames are batch plans."""
