@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import text_rows
 
 # Look-alike letters of other scripts, digits and signs, and the letters that they stand for.
-_LOOKALIKES = "аa еe оo рp сc хx уy іi ѕs јj ԁd һh ԛq ԝw ɡg αa εe οo ρp νv κk ιi τt υu 0o 1i 3e 4a 5s 7t @a $s"
+_LOOKALIKES = "аa вb мm нh тt кk еe оo рp сc хx уy іi ѕs јj ԁd һh ԛq ԝw ɡg αa εe οo ρp νv κk ιi τt υu 0o 1i 3e 4a 5s 7t @a $s"
 #: The shortest and the longest word beginning that can be an entry.
 SHORTEST, LONGEST = 4, 9
 
