@@ -4,7 +4,7 @@ A document's 64-bit fingerprint has a bit where over half the hashes of its four
 fingerprints within radius r, every bit position gets a vector of r + 1 bits; each non-zero vector of r + 1 bits makes a table whose
 mask has the positions with an odd inner product. Whatever r positions two fingerprints differ in, some non-zero vector is
 orthogonal to all of theirs, so that table's mask avoids them and the two meet in one of its buckets. With r = 4 that's
-31 tables of 32 bits each: no pair is lost, and buckets stay small.
+31 tables of 32 bits each, with r = 5 63: no pair is lost, and buckets stay small.
 
 Equal fingerprints are one row before any bucket is made. Within a bucket, fingerprints within the radius are compared
 in full and leave as spanning edges to the smallest id, never as all pairs.
