@@ -341,42 +341,40 @@ _SCORES = """SELECT q.vec_id AS query_id, e.vec_id AS best_index, list_inner_pro
 FROM embeddings q JOIN embeddings e ON q.vec_id<20 AND e.vec_id<>q.vec_id"""
 
 
-def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     corpus = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    dims = corpus.select(F.size("embedding")).first()[0]
-    # One small file is one partition, which would leave the scoring to one core.
-    return corpus.repartition("vec_id"), corpus.filter("vec_id < 20"), dims
+    return corpus, corpus.filter("vec_id < 20")
 
 
 @_query(f"WITH s AS ({_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, best_index) rn FROM s WHERE NOT isnan(sim)) SELECT query_id, best_index, best_index%4 AS colocation_index, round(sim,6) AS best_similarity FROM r WHERE rn=1")
 def search_dot(spark, sf_dir):
-    corpus, queries, dims = _vectors(spark, sf_dir)
-    return search.search_dot(corpus, queries, C, dims).withColumn("best_similarity", F.round("best_similarity", 6))
+    corpus, queries = _vectors(spark, sf_dir)
+    return search.search_dot(corpus, queries, C).withColumn("best_similarity", F.round("best_similarity", 6))
 
 
 @_query("WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS best_index, 1-list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),CAST(e.embedding AS DOUBLE[])) AS dist FROM embeddings q JOIN embeddings e ON q.vec_id<20 AND e.vec_id<>q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, best_index) rn FROM s) SELECT query_id, best_index, round(dist,6) AS best_distance FROM r WHERE rn=1")
 def search_cosine(spark, sf_dir):
-    corpus, queries, dims = _vectors(spark, sf_dir)
-    return search.search_cosine(corpus, queries, dims).withColumn("best_distance", F.round("best_distance", 6))
+    corpus, queries = _vectors(spark, sf_dir)
+    return search.search_cosine(corpus, queries).withColumn("best_distance", F.round("best_distance", 6))
 
 
 @_query(f"WITH s AS ({_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, best_index%4 ORDER BY sim DESC, best_index) rn FROM s) SELECT query_id, best_index%4 AS colocation_index, best_index, round(sim,6) AS best_similarity FROM r WHERE rn=1")
 def search_shard_best(spark, sf_dir):
-    corpus, queries, dims = _vectors(spark, sf_dir)
-    found = search.best(search.scored(corpus, queries, "dot", dims), by_shard=C)
+    corpus, queries = _vectors(spark, sf_dir)
+    found = search.best(search.scored(corpus, queries, "dot"), by_shard=C)
     return found.select("query_id", "colocation_index", "best_index", F.round("score", 6).alias("best_similarity"))
 
 
 @_query(f"WITH s AS ({_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, best_index) rn FROM s WHERE NOT isnan(sim)) SELECT query_id, best_index, best_index%4 AS colocation_index, round(sim,6) AS best_similarity FROM r WHERE rn=1")
 def search_sharded(spark, sf_dir):
-    corpus, queries, dims = _vectors(spark, sf_dir)
-    return search.search_sharded(corpus, queries, C, dims).withColumn("best_similarity", F.round("best_similarity", 6))
+    corpus, queries = _vectors(spark, sf_dir)
+    return search.search_sharded(corpus, queries, C).withColumn("best_similarity", F.round("best_similarity", 6))
 
 
 @_query(f"SELECT round(avg(b),6) AS avg_similarity FROM (SELECT query_id, max(sim) b FROM ({_SCORES}) GROUP BY 1)")
 def search_avg_best(spark, sf_dir):
-    corpus, queries, dims = _vectors(spark, sf_dir)
-    return search.search_dot(corpus, queries, C, dims).agg(F.round(F.avg("best_similarity"), 6).alias("avg_similarity"))
+    corpus, queries = _vectors(spark, sf_dir)
+    return search.search_dot(corpus, queries, C).agg(F.round(F.avg("best_similarity"), 6).alias("avg_similarity"))
 
 
 # N-body, 64 bodies made of parts

@@ -29,7 +29,7 @@ def test_sharded_and_global_search_agree(spark):
     v = generators.embeddings(spark, 200, 8)
     q = v.filter("vec_id < 7")
     one = {tuple(r) for r in search.search_dot(v, q, 4).collect()}
-    assert one == {tuple(r) for r in search.search_sharded(v, q, 4).collect()} == {tuple(r) for r in search.search_dot(v, q, 4, dims=8).collect()}
+    assert one == {tuple(r) for r in search.search_sharded(v, q, 4).collect()}
 
 
 def test_all_pairs_do_not_need_a_broadcast(spark):
