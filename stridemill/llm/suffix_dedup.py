@@ -10,6 +10,9 @@ A byte goes if a string of ``width`` bytes that covers it also starts earlier (i
    mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes.
    Neighbours with ``width`` common bytes, verified byte by byte, are one class; all but its earliest go.
 
+A smallest hash that very many different runs share would be one large sort; the windows of such runs are spread by their own
+128-bit hashes and settled there, so no task grows with a group.
+
 Step 1 leaves about one row per 35 bytes of text, step 3 sees only the borders.
 
 Defined results: null and empty texts have no bytes; texts of any length are read whole; matches never cross texts. Rows with a null id are
@@ -194,6 +197,54 @@ def _settle(width: int):
     return batches
 
 
+def _windows(width: int):
+    """Both halves of a 128-bit hash of every window of the runs in a text's list; within a batch the earliest of equal ones
+    and, with size over 0, intervals that are settled."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            parts = []
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs"), strict=True):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                for r in own.as_py():
+                    raw = data[r["lo"] : r["lo"] + r["n"] - 1 + width]
+                    halves = [mixed(PrefixHash(raw, seed).grams(width)).view(np.int64) for seed in (1, 2)]
+                    parts.append((*halves, np.full(r["n"], doc), np.arange(r["lo"], r["lo"] + r["n"])))
+            if parts:
+                a, b, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((pos, doc, b, a))
+                a, b, doc, pos = (x[order] for x in (a, b, doc, pos))
+                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                yield from _emit([a[first], b[first], doc[first], pos[first], np.zeros(first.sum(), np.int64)], _WINDOW_NAMES)
+                d, lo, hi = merged(doc[~first], pos[~first], pos[~first] + width)
+                yield from _emit([lo, hi, d, lo, hi - lo], _WINDOW_NAMES)
+
+    return batches
+
+
+_WINDOW_NAMES = ["a", "b", "doc", "pos", "size"]
+
+
+def _later(width: int):
+    """From windows sorted by (a, b, doc, pos): intervals of all but the first of equal ones, and those settled before."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in stream:
+            a, b, doc, pos, size = (np.asarray(batch.column(c)) for c in _WINDOW_NAMES)
+            open_ = size == 0
+            x, y = a[open_], b[open_]
+            gone = np.zeros(len(x), bool)
+            if len(x):
+                gone[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+                gone[0] = (x[0], y[0]) == last
+                last = (x[-1], y[-1])
+            d, lo, hi = merged(np.append(doc[open_][gone], doc[~open_]), np.append(pos[open_][gone], pos[~open_]), np.append(pos[open_][gone] + width, pos[~open_] + size[~open_]))
+            yield from _emit([d, lo, hi], ["doc", "lo", "hi"])
+
+    return batches
+
+
 def _contexts(width: int):
     """The bytes of each run in a text's list."""
 
@@ -353,8 +404,11 @@ def _apply(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removed_intervals(rows: DataFrame, width: int) -> DataFrame:
-    """(doc, lo, hi): intervals of bytes that go, of rows (doc_id, text) with distinct ids."""
+def removed_intervals(rows: DataFrame, width: int, most: int = 20_000) -> DataFrame:
+    """(doc, lo, hi): intervals of bytes that go, of rows (doc_id, text) with distinct ids.
+
+    A key with more than ``most`` different runs isn't sorted in one task: its windows spread by 128-bit hashes of their own.
+    """
     long = rows.filter(F.octet_length("text") >= width)
     settled = stored(
         long.mapInArrow(_run_batches(width), _RUN_SCHEMA)
@@ -363,18 +417,28 @@ def removed_intervals(rows: DataFrame, width: int) -> DataFrame:
         .mapInArrow(_settle(width), "key long, doc long, lo long, n long"),
         "runs",
     )
-    lists = settled.filter("n > 0").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "lo", "n")).alias("runs"))
-    contexts = long.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "runs").mapInArrow(_contexts(width), "key long, doc long, lo long, bytes binary")
-    sorted_out = stored(
-        contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_contexts(width), "doc long, lo long, hi long"), "borders"
-    )
-    return settled.filter("n = 0").select("doc", "lo", F.col("key").alias("hi")).unionAll(sorted_out)
+    border = settled.filter("n > 0")
+    crowded = stored(border.groupBy("key").count().filter(F.col("count") > most).select("key"), "crowded")
+
+    def texts(runs: DataFrame) -> DataFrame:
+        lists = runs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "lo", "n")).alias("runs"))
+        return long.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "runs")
+
+    settled_here = settled.filter("n = 0").select("doc", "lo", F.col("key").alias("hi"))
+    if not crowded.isEmpty():
+        windows = texts(border.join(crowded, "key", "left_semi")).mapInArrow(_windows(width), ", ".join(f"{c} long" for c in _WINDOW_NAMES))
+        later = windows.repartition("a").sortWithinPartitions("a", "b", "doc", "pos").mapInArrow(_later(width), "doc long, lo long, hi long")
+        settled_here = settled_here.unionAll(stored(later, "crowds"))
+        border = border.join(crowded, "key", "left_anti")
+    contexts = texts(border).mapInArrow(_contexts(width), "key long, doc long, lo long, bytes binary")
+    sorted_out = stored(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_contexts(width), "doc long, lo long, hi long"), "borders")
+    return settled_here.unionAll(sorted_out)
 
 
-def deduplicate(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 100, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT_SCHEMA for every document: what's left of it once later occurrences of ``width``-byte strings have gone."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    lists = lambda single: removed_intervals(single, width).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    lists = lambda single: removed_intervals(single, width, most).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
         out = rows.join(lists(rows).hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
     else:
