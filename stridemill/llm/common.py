@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -27,9 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+class _Made(threading.local):
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
+
+
+def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders that this thread's operators have made, once what was read from them is stored elsewhere."""
+    for place in [p for p in _made.paths if p not in keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.paths.remove(place)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
