@@ -27,6 +27,11 @@ def located_threads(spark: SparkSession, workers: int = 8, shards: int = 4) -> D
     return for_threads(spark, workers, shards).withColumn("local_thread", local_worker_col(F.col("thread_index"), workers, min(shards, workers)))
 
 
+def threads_per_shard(spark: SparkSession, workers: int = 8, shards: int = 4) -> DataFrame:
+    """(colocation_index, first, count): the workers of every shard."""
+    return split_ranges(spark, workers, min(shards, workers), "colocation_index")
+
+
 def split_ranges(spark: SparkSession, n: int, parts: int, name: str = "thread_index") -> DataFrame:
     """(name, first, count) of every block of the balanced split, empty ones too."""
     k = F.col(name)

@@ -110,6 +110,11 @@ def locate_thread(spark, sf_dir):
     return loops.located_threads(spark, 10, C)
 
 
+@_query("SELECT c AS colocation_index, 10//4*c+least(c,10%4) AS first, 10//4+CAST(c<10%4 AS BIGINT) AS count FROM range(4) r(c)")
+def threads_per_shard(spark, sf_dir):
+    return loops.threads_per_shard(spark, 10, C)
+
+
 @_query("SELECT c AS colocation_index, n//4*c+least(c,n%4) AS first, n//4+CAST(c<n%4 AS BIGINT) AS count FROM range(4) r(c), (SELECT count(*) n FROM events)")
 def colocation_split(spark, sf_dir):
     return loops.split_ranges(spark, _frame(spark, sf_dir, "events", "event_id").length, C, "colocation_index")

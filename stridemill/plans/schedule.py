@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,14 @@ from ..errors import InvalidParameter
 from ..functions.split import owner_col
 
 
+class Schedule(Protocol):
+    """What an indexed frame needs of a policy."""
+
+    workers: int
+
+    def place(self, df: DataFrame, key: str, n: int) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class Static:
     """One contiguous slice for each of ``workers``."""

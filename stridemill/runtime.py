@@ -43,11 +43,22 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def topology(spark: SparkSession) -> DataFrame:
-    """One row: cores, nodes, shards, quality levels (always 1), version and capabilities of the session."""
-    sc = spark.sparkContext
-    hosts = {str(sc._jsc.sc().getExecutorMemoryStatus().keys().toList().apply(k)).rpartition(":")[0] for k in range(sc._jsc.sc().getExecutorMemoryStatus().size())}
-    row = (sc.defaultParallelism, len(hosts), len(hosts), 1, __version__, capabilities(spark))
-    return spark.createDataFrame([row], "logical_cores long, numa_nodes long, colocations long, quality_levels long, version string, capabilities string")
+    """One row: cores, nodes, shards (one per node), quality levels (always 1), memory, version and capabilities of the session."""
+    sc, status = spark.sparkContext, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().iterator()
+    hosts, memory = set(), 0
+    while status.hasNext():
+        entry = status.next()
+        hosts.add(str(entry._1()).rpartition(":")[0])
+        memory += int(entry._2()._1())
+    row = (sc.defaultParallelism, len(hosts), len(hosts), 1, memory, __version__, capabilities(spark))
+    return spark.createDataFrame([row], "logical_cores long, numa_nodes long, colocations long, quality_levels long, memory_bytes long, version string, capabilities string")
+
+
+def progress(spark: SparkSession) -> list[tuple[int, int, int]]:
+    """(stage, tasks, finished tasks) of every stage that runs just now."""
+    tracker = spark.sparkContext.statusTracker()
+    infos = (tracker.getStageInfo(k) for k in tracker.getActiveStageIds())
+    return [(i.stageId, i.numTasks, i.numCompletedTasks) for i in infos if i is not None]
 
 
 def capabilities(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter, LengthMismatch
 from ..functions.split import owner_col, to_local, to_shard
-from ..plans.schedule import Dynamic, Static
+from ..plans.schedule import Schedule, Static
 
 KEY = "task_index"
 
@@ -22,7 +22,7 @@ class IndexedFrame:
     the rows that are left. Nothing runs before an action on the frame that a terminal returns.
     """
 
-    def __init__(self, df: DataFrame, length: int, start: int = 0, schedule: Static | Dynamic | None = None):
+    def __init__(self, df: DataFrame, length: int, start: int = 0, schedule: Schedule | None = None):
         self.df, self.length, self.start, self.schedule = df, length, start, schedule or Static()
 
     # sources
@@ -85,7 +85,7 @@ class IndexedFrame:
         """The same items in the opposite order of keys."""
         return self._with(self.df.withColumn(KEY, F.lit(2 * self.start + self.length - 1) - F.col(KEY)))
 
-    def with_schedule(self, schedule: Static | Dynamic) -> IndexedFrame:
+    def with_schedule(self, schedule: Schedule) -> IndexedFrame:
         return IndexedFrame(self.df, self.length, self.start, schedule)
 
     # context

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from stridemill.errors import InvalidParameter, LengthMismatch
 from stridemill.operators import fold, loops
 from stridemill.plans.schedule import Dynamic, Static
-from stridemill.runtime import Action, broadcast_to_workers, topology
+from stridemill.runtime import Action, broadcast_to_workers, progress, topology
 from stridemill.sources.frame import KEY, IndexedFrame
 
 T = 4
@@ -90,4 +90,5 @@ def test_workers_and_topology(spark):
     got = broadcast_to_workers(spark, 3, lambda k: k + 1, simultaneous=True).collect()
     assert sorted(map(tuple, got)) == [(0, "1"), (1, "2"), (2, "3")]
     row = topology(spark).first()
-    assert row["quality_levels"] == 1 and row["logical_cores"] >= 1
+    assert row["quality_levels"] == 1 and row["logical_cores"] >= 1 and row["memory_bytes"] > 0
+    assert progress(spark) == []
