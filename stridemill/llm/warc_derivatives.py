@@ -27,9 +27,12 @@ TITLE = "(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = '(?i)<html[^>]* lang="([^"]*)"'
 LINK = '(?i)<a [^>]*href="([^"]*)"'
 HIDDEN = (
-    "(?is)<!--.*?-->|<head[ \\t\\r\\n>].*?</head[^>]*>|<script[ \\t\\r\\n>].*?</script[^>]*>"
-    "|<style[ \\t\\r\\n>].*?</style[^>]*>|<noscript[ \\t\\r\\n>].*?</noscript[^>]*>|<template[ \\t\\r\\n>].*?</template[^>]*>"
+    "(?s)<(?:!--.*?--|[hH][eE][aA][dD][ \\t\\r\\n>].*?</[hH][eE][aA][dD][^>]*|[sS][cC][rR][iI][pP][tT][ \\t\\r\\n>].*?</[sS][cC][rR][iI][pP][tT][^>]*"
+    "|[sS][tT][yY][lL][eE][ \\t\\r\\n>].*?</[sS][tT][yY][lL][eE][^>]*|[nN][oO][sS][cC][rR][iI][pP][tT][ \\t\\r\\n>].*?</[nN][oO][sS][cC][rR][iI][pP][tT][^>]*"
+    "|[tT][eE][mM][pP][lL][aA][tT][eE][ \\t\\r\\n>].*?</[tT][eE][mM][pP][lL][aA][tT][eE][^>]*)>"
 )
+#: White space that isn't just one blank; single blanks, which are most, are passed over.
+SPACES = "[ \\t\\r\\n\\f]{2,}|[\\t\\r\\n\\f]"
 BREAKS = (
     "(?i)</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|nav|header|footer|aside|main|blockquote|pre|form|figure|figcaption)"
     "(?:[ \\t\\r\\n/][^>]*)?>"
@@ -40,12 +43,12 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 def plain_text(html: Column) -> Column:
     """What a reader sees: no markup, scripts or comments; one line per block."""
     text = F.regexp_replace(html, HIDDEN, " ")
-    text = F.regexp_replace(text, "[ \\t\\r\\n\\f]+", " ")
+    text = F.regexp_replace(text, SPACES, " ")
     text = F.regexp_replace(text, BREAKS, "\n")
     text = F.regexp_replace(text, "(?s)<[/!?a-zA-Z][^>]*>", "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "  +", " "), " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, "  +", " "), "\n[ \n]+| \n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
