@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +20,13 @@ SOFTENING = 1e-9
 AXES = ("x", "y", "z")
 
 
+#: Bodies up to which their positions are broadcast as arrays (a few MB); the count is checked.
+BLOCK_BODIES = 200_000
+
+
 def inverse_cube(squared: Column) -> Column:
-    return F.pow(squared, -1.5)
+    """``squared`` to the power -1.5; a root and a division take half the time of ``pow``."""
+    return 1 / (squared * F.sqrt(squared))
 
 
 def forces(bodies: DataFrame) -> DataFrame:
@@ -31,6 +40,33 @@ def forces(bodies: DataFrame) -> DataFrame:
     return terms.groupBy("id").agg(*(F.sum(F.col("pull") * F.col(f"d{a}")).alias(f"f{a}") for a in AXES))
 
 
+def forces_in_blocks(bodies: DataFrame, block: int = 512) -> DataFrame:
+    """The same as ``forces``, with the sums over all bodies taken by NumPy in blocks: no row per pair and no shuffle.
+
+    Beyond BLOCK_BODIES it is ``forces``.
+    """
+    if bodies.count() > BLOCK_BODIES:
+        return forces(bodies)
+    spark = bodies.sparkSession
+    every = spark.sparkContext.broadcast(bodies.select(*AXES, "m").toPandas().to_numpy(dtype=float).T.copy())
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        *at, mass = every.value
+        for frame in frames:
+            out = np.zeros((3, len(frame)))
+            own = frame[[*AXES]].to_numpy(dtype=float).T
+            for j in range(0, len(mass), block):
+                delta = [a[None, j : j + block] - o[:, None] for a, o in zip(at, own, strict=True)]
+                squared = delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2] + SOFTENING
+                pull = mass[j : j + block] / (squared * np.sqrt(squared))
+                for k in range(3):
+                    out[k] += np.einsum("ij,ij->i", pull, delta[k])
+            out *= GRAVITY * frame["m"].to_numpy(dtype=float)
+            yield pd.DataFrame({"id": frame["id"], "fx": out[0], "fy": out[1], "fz": out[2]})
+
+    return bodies.select("id", *AXES, "m").mapInPandas(batches, "id long, fx double, fy double, fz double")
+
+
 def applied(bodies: DataFrame, pulls: DataFrame) -> DataFrame:
     """Velocities first, then positions with the new velocities."""
     v = {a: F.col(f"v{a}") + F.col(f"f{a}") / F.col("m") * TIME_STEP for a in AXES}
@@ -38,14 +74,14 @@ def applied(bodies: DataFrame, pulls: DataFrame) -> DataFrame:
     return bodies.join(pulls, "id").select("id", *(x[a].alias(a) for a in AXES), *(v[a].alias(f"v{a}") for a in AXES), "m")
 
 
-def step(bodies: DataFrame) -> DataFrame:
-    return applied(bodies, forces(bodies))
+def step(bodies: DataFrame, blocks: bool = False) -> DataFrame:
+    return applied(bodies, forces_in_blocks(bodies) if blocks else forces(bodies))
 
 
-def simulate(bodies: DataFrame, steps: int, write_every: int = 1) -> DataFrame:
-    """``steps`` steps. State is written to the shared folder as it goes, or plans would grow with the steps."""
+def simulate(bodies: DataFrame, steps: int, write_every: int = 1, blocks: bool = False) -> DataFrame:
+    """``steps`` steps, with forces in ``blocks`` if wanted. State is written to the shared folder as it goes, or plans would grow with the steps."""
     for k in range(1, steps + 1):
-        bodies = step(bodies)
+        bodies = step(bodies, blocks)
         if k % write_every == 0 and k < steps:
             bodies = written(bodies, "bodies")
     return bodies

@@ -402,6 +402,11 @@ def nbody_force(spark, sf_dir):
     return nbody.forces(_bodies(spark, sf_dir)).select("id", *(F.round(f"f{a}", 4).alias(f"f{a}") for a in "xyz"))
 
 
+@_query(f"WITH bodies AS ({_BODIES}), f AS ({_FORCES}) SELECT id, round(fx,4) AS fx, round(fy,4) AS fy, round(fz,4) AS fz FROM f")
+def nbody_force_blocks(spark, sf_dir):
+    return nbody.forces_in_blocks(_bodies(spark, sf_dir)).select("id", *(F.round(f"f{a}", 4).alias(f"f{a}") for a in "xyz"))
+
+
 @_query(
     f"WITH bodies AS ({_BODIES}), f AS ({_FORCES}) SELECT b.id, "
     + ", ".join(f"round(b.v{a}+f.f{a}/b.m*0.01,8) AS v{a}, round(b.{a}+(b.v{a}+f.f{a}/b.m*0.01)*0.01,8) AS {a}" for a in "xyz")

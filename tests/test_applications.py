@@ -58,5 +58,14 @@ def test_simulation_follows_numpy(spark, steps):
         pull = nbody.GRAVITY * m[:, None] * m[None] * ((d**2).sum(-1) + nbody.SOFTENING) ** -1.5
         v += (pull[..., None] * d).sum(1) / m[:, None] * nbody.TIME_STEP
         x += v * nbody.TIME_STEP
-    got = np.array([tuple(r)[1:] for r in nbody.simulate(start, steps).select("id", *"xyz", "vx", "vy", "vz").orderBy("id").collect()])
-    assert np.allclose(got, np.hstack([x, v]), rtol=1e-9)
+    for blocks in (False, True):
+        got = np.array([tuple(r)[1:] for r in nbody.simulate(start, steps, blocks=blocks).select("id", *"xyz", "vx", "vy", "vz").orderBy("id").collect()])
+        assert np.allclose(got, np.hstack([x, v]), rtol=1e-9)
+
+
+def test_blocks_give_way_beyond_their_bound(spark, monkeypatch):
+    start = generators.bodies(spark, 30, masses=(1e6, 1e7))
+    one = {r["id"]: r["fx"] for r in nbody.forces_in_blocks(start, block=7).collect()}
+    monkeypatch.setattr(nbody, "BLOCK_BODIES", 3)
+    two = {r["id"]: r["fx"] for r in nbody.forces_in_blocks(start).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) <= 1e-9 * abs(one[k]) for k in one)
