@@ -7,7 +7,6 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..sources.frame import IndexedFrame
