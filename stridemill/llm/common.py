@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -57,6 +58,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that finished jobs' shuffle files aren't needed any more, which otherwise waits for its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``doc_id`` and ``text`` (null as empty), whatever else the input has."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

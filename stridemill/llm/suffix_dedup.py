@@ -11,7 +11,7 @@ A byte goes if a string of ``width`` bytes that covers it also starts earlier (i
    Neighbours with ``width`` common bytes, verified byte by byte, are one class; all but its earliest go.
 
 A smallest hash that very many different runs share would be one large sort; the windows of such runs are spread by their own
-128-bit hashes and settled there, so no task grows with a group.
+hashes and sorted there, so no task grows with such a group.
 
 Step 1 leaves about one row per 35 bytes of text, step 3 sees only the borders.
 
@@ -29,10 +29,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_rows
+from .common import release, stored, text_rows
 
 GRAM = 32
 #: Window starts handled at once; positions then fit into 20 bits.
@@ -197,69 +198,56 @@ def _settle(width: int):
     return batches
 
 
-def _windows(width: int):
-    """Both halves of a 128-bit hash of every window of the runs in a text's list; within a batch the earliest of equal ones
-    and, with size over 0, intervals that are settled."""
-
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            parts = []
-            for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs"), strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                for r in own.as_py():
-                    raw = data[r["lo"] : r["lo"] + r["n"] - 1 + width]
-                    halves = [mixed(PrefixHash(raw, seed).grams(width)).view(np.int64) for seed in (1, 2)]
-                    parts.append((*halves, np.full(r["n"], doc), np.arange(r["lo"], r["lo"] + r["n"])))
-            if parts:
-                a, b, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((pos, doc, b, a))
-                a, b, doc, pos = (x[order] for x in (a, b, doc, pos))
-                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                yield from _emit([a[first], b[first], doc[first], pos[first], np.zeros(first.sum(), np.int64)], _WINDOW_NAMES)
-                d, lo, hi = merged(doc[~first], pos[~first], pos[~first] + width)
-                yield from _emit([lo, hi, d, lo, hi - lo], _WINDOW_NAMES)
-
-    return batches
+_CONTEXT_NAMES = ["key", "doc", "lo", "bytes"]
 
 
-_WINDOW_NAMES = ["a", "b", "doc", "pos", "size"]
+def _single_windows(raws: list[np.ndarray], docs: list[int], los: list[int], width: int) -> Iterator[pa.RecordBatch]:
+    """The windows of crowded runs as contexts of their own, under their own hashes: of equal ones the earliest, of the
+    others their intervals, as rows without bytes whose key is the interval's end."""
+    key = np.concatenate([mixed(PrefixHash(r).grams(width)) for r in raws]).view(np.int64)
+    n = np.array([len(r) - width + 1 for r in raws])
+    doc, pos = np.repeat(docs, n), np.repeat(los, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(r, width) for r in raws])
+    order = np.lexsort((pos, doc, key))
+    key, doc, pos, rows = key[order], doc[order], pos[order], rows[order]
+    gone = np.append(False, (key[1:] == key[:-1]) & (rows[1:] == rows[:-1]).all(axis=1))
+    kept = [r.tobytes() for r in rows[~gone]]
+    yield pa.RecordBatch.from_arrays([pa.array(key[~gone]), pa.array(doc[~gone]), pa.array(pos[~gone]), pa.array(kept, pa.binary())], _CONTEXT_NAMES)
+    d, lo, hi = merged(doc[gone], pos[gone], pos[gone] + width)
+    yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(d), pa.array(lo), pa.array([b""] * len(d), pa.binary())], _CONTEXT_NAMES)
 
 
-def _later(width: int):
-    """From windows sorted by (a, b, doc, pos): intervals of all but the first of equal ones, and those settled before."""
+def _contexts(width: int, most: int = 50_000):
+    """The bytes of each run in a text's list; crowded runs window by window, in lots of about ``most``."""
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in stream:
-            a, b, doc, pos, size = (np.asarray(batch.column(c)) for c in _WINDOW_NAMES)
-            open_ = size == 0
-            x, y = a[open_], b[open_]
-            gone = np.zeros(len(x), bool)
-            if len(x):
-                gone[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-                gone[0] = (x[0], y[0]) == last
-                last = (x[-1], y[-1])
-            d, lo, hi = merged(np.append(doc[open_][gone], doc[~open_]), np.append(pos[open_][gone], pos[~open_]), np.append(pos[open_][gone] + width, pos[~open_] + size[~open_]))
-            yield from _emit([d, lo, hi], ["doc", "lo", "hi"])
-
-    return batches
-
-
-def _contexts(width: int):
-    """The bytes of each run in a text's list."""
+    def plain(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], _CONTEXT_NAMES)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd: tuple[list, list, list] = ([], [], [])
+        held = 0
         for batch in stream:
             cols: list[list] = [[], [], [], []]
             for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs"), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in own.as_py():
-                    for c, x in zip(cols, (r["key"], doc, r["lo"], raw[r["lo"] : r["lo"] + r["n"] - 1 + width]), strict=True):
-                        c.append(x)
+                    context = raw[r["lo"] : r["lo"] + r["n"] - 1 + width]
+                    if r["crowded"]:
+                        for c, x in zip(crowd, (np.frombuffer(context, np.uint8), doc, r["lo"]), strict=True):
+                            c.append(x)
+                        held += r["n"]
+                    else:
+                        for c, x in zip(cols, (r["key"], doc, r["lo"], context), strict=True):
+                            c.append(x)
                 if len(cols[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["key", "doc", "lo", "bytes"])
+                    yield plain(cols)
                     cols = [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["key", "doc", "lo", "bytes"])
+                if held > most:
+                    yield from _single_windows(*crowd, width)
+                    crowd, held = ([], [], []), 0
+            yield plain(cols)
+        if held:
+            yield from _single_windows(*crowd, width)
 
     return batches
 
@@ -370,7 +358,11 @@ def _sort_contexts(width: int, most: int = 1_000_000):
         cols: list[list] = [[], [], [], []]
         held = 0
         for batch in stream:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "lo", "bytes")), strict=True):
+            settled = pc.equal(pc.binary_length(batch.column("bytes")), 0)
+            done = batch.filter(settled)
+            yield pa.RecordBatch.from_arrays([done.column("doc"), done.column("lo"), done.column("key")], ["doc", "lo", "hi"])
+            batch = batch.filter(pc.invert(settled))
+            for row in zip(*(batch.column(c).to_pylist() for c in _CONTEXT_NAMES), strict=True):
                 if held > most and row[0] != cols[0][-1]:
                     yield from solved(*(np.array(c, np.int64) for c in cols[:3]), cols[3])
                     cols, held = [[], [], [], []], 0
@@ -407,7 +399,7 @@ def _apply(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_intervals(rows: DataFrame, width: int, most: int = 20_000) -> DataFrame:
     """(doc, lo, hi): intervals of bytes that go, of rows (doc_id, text) with distinct ids.
 
-    A key with more than ``most`` different runs isn't sorted in one task: its windows spread by 128-bit hashes of their own.
+    A key with more than ``most`` different runs isn't sorted in one task: its windows spread by hashes of their own.
     """
     long = rows.filter(F.octet_length("text") >= width)
     settled = stored(
@@ -417,22 +409,16 @@ def removed_intervals(rows: DataFrame, width: int, most: int = 20_000) -> DataFr
         .mapInArrow(_settle(width), "key long, doc long, lo long, n long"),
         "runs",
     )
+    release(rows.sparkSession)  # the runs' shuffle is the largest; gone before texts are shuffled
     border = settled.filter("n > 0")
-    crowded = stored(border.groupBy("key").count().filter(F.col("count") > most).select("key"), "crowded")
-
-    def texts(runs: DataFrame) -> DataFrame:
-        lists = runs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "lo", "n")).alias("runs"))
-        return long.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "runs")
-
-    settled_here = settled.filter("n = 0").select("doc", "lo", F.col("key").alias("hi"))
-    if not crowded.isEmpty():
-        windows = texts(border.join(crowded, "key", "left_semi")).mapInArrow(_windows(width), ", ".join(f"{c} long" for c in _WINDOW_NAMES))
-        later = windows.repartition("a").sortWithinPartitions("a", "b", "doc", "pos").mapInArrow(_later(width), "doc long, lo long, hi long")
-        settled_here = settled_here.unionAll(stored(later, "crowds"))
-        border = border.join(crowded, "key", "left_anti")
-    contexts = texts(border).mapInArrow(_contexts(width), "key long, doc long, lo long, bytes binary")
+    crowded = stored(border.groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("crowded")), "crowded")
+    flagged = border.withColumn("crowded", F.lit(False)) if crowded.isEmpty() else border.join(crowded, "key", "left").fillna({"crowded": False})
+    lists = flagged.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "lo", "n", "crowded")).alias("runs"))
+    texts = long.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "runs")
+    contexts = texts.mapInArrow(_contexts(width), "key long, doc long, lo long, bytes binary")
     sorted_out = stored(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_contexts(width), "doc long, lo long, hi long"), "borders")
-    return settled_here.unionAll(sorted_out)
+    release(rows.sparkSession)
+    return settled.filter("n = 0").select("doc", "lo", F.col("key").alias("hi")).unionAll(sorted_out)
 
 
 def deduplicate(docs: DataFrame, width: int = 100, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
