@@ -45,7 +45,8 @@ class Block:
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         if self.real is not None and self.top * float(np.abs(q.astype(float)).max()) * len(q) < 2**53:
-            return (self.real[rows] @ q.astype(float)).astype(np.int64)
+            real = q.astype(float)  # for most of the rows one product over all is cheaper than gathering them
+            return ((self.real @ real)[rows] if 4 * len(rows) > len(self.real) else self.real[rows] @ real).astype(np.int64)
         return np.array([sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in self.x[rows]], object)
 
     def top_k(self, own: int, q: np.ndarray, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -53,20 +54,25 @@ class Block:
         n = len(self.ids)
         used = np.flatnonzero(q)
         down = q[used] > 0
+        high, low = used[down], used[~down]
         seen = np.zeros(n, bool)
         seen[np.searchsorted(self.ids, own) : np.searchsorted(self.ids, own, "right")] = True  # never the query's own row
         rows, score = np.empty(0, np.int64), np.empty(0, np.int64)
         depth = 0
         while depth < n and not seen.all():
             reach = min(n, max(step, 4 * depth))
-            near = [self.lists[n - reach : n - depth, d] if up else self.lists[depth:reach, d] for d, up in zip(used, down, strict=True)]
-            new = np.unique(np.concatenate(near)) if near else np.arange(n)
-            new = new[~seen[new]]
+            met = np.full(n, not len(used))
+            met[self.lists[n - reach : n - depth, high]] = True
+            met[self.lists[depth:reach, low]] = True
+            new = np.flatnonzero(met & ~seen)
             seen[new] = True
             rows, score = np.append(rows, new), np.append(score, self.scores(new, q))
-            best = np.lexsort((rows, -score))[:k] if len(rows) else np.empty(0, np.int64)
+            if len(rows) > k:  # all ties of the kth score stay until they're sorted
+                fit = score >= np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[fit], score[fit]
+            best = np.lexsort((rows, -score))[:k]
             rows, score = rows[best], score[best]
-            depth = reach if near else n
+            depth = reach
             at = np.where(down, n - depth, depth - 1)
             bound = sum(int(a) * int(b) for a, b in zip(q[used], self.sorted[at, used], strict=True))
             if len(rows) == k and bound < score[-1]:  # at equal scores an unread row might have a smaller id
