@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-KEPT = 600_000
+KEPT = 500_000
+#: Letter runs whose ids are kept besides: they serve pieces of the same batch above all.
+CORES_KEPT = 100_000
 #: Letters of Latin-1 and ASCII punctuation, whose classes, case and composition no Unicode version changes.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 #: Texts with other white space than single blanks and line ends between other characters.
@@ -63,6 +65,8 @@ class Pieces:
     def _learn(self, words: list[str]) -> None:
         """Encode pieces that have no ids yet: Latin letters with ASCII punctuation after them by the merges alone, the others by the library."""
         sizes, ids = [], []
+        if len(self.cores) > CORES_KEPT:
+            self.cores.clear()
         for w in words:
             line = self.blanks and w[:1] == "\n"
             m = _SIMPLE.fullmatch(w, 1 if line else 0)
