@@ -191,7 +191,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: b
 
 
 def without_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of every component, the one with the smallest id; rows with a null id all stay."""
+    """``docs`` with one document of every component, the one with the smallest id; rows with a null id all stay.
+
+    With ``words`` an estimate would decide what goes, so components are those of the exact similarity of shingle sets instead.
+    """
+    if how.get("words"):
+        from .shingle_join import without_duplicates as exactly  # which imports this module
+
+        return exactly(docs, how.get("shingle", 4), how.get("id_col", "doc_id"), how.get("text_col", "text"))
     found = near_duplicates(docs, **how)
     extra = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
     if not docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():

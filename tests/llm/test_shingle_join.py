@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stridemill.llm import shingle_join
+from stridemill.llm import shingle_join, simhash
 
 
 def shingles(text):
@@ -63,6 +63,21 @@ def test_stage_joins_every_pair_of_similarity_0_8(spark):
     assert got <= want  # nothing stays that the rule joins
 
 
+def test_nothing_below_similarity_0_8_goes(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        own = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        texts += [" ".join(own), " ".join(own[:225] + [f"v{rng.randrange(9000)}" for _ in range(75)]), " ".join(own[:232])]
+        for k in rng.sample(range(300), 10):
+            own[k] = "changed"
+        texts.append(" ".join(own))
+    want = kept_by_brute_force(texts)
+    assert stage(spark, texts) == want
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.without_duplicates(docs, radius=5, shingle=5, words=True).collect()} == want
+
+
 def test_crowded_shingles_take_pivots_and_stay_exact(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "PAIRS", 0)
     texts = edited(2)[:90]
