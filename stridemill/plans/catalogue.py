@@ -382,7 +382,7 @@ def search_avg_best(spark, sf_dir):
     return search.search_dot(corpus, queries, C).agg(F.round(F.avg("best_similarity"), 6).alias("avg_similarity"))
 
 
-# N-body, 64 bodies made of parts
+# N-body, 64 bodies made of parts; all parts where there's no SQL
 
 _BODIES = """SELECT p_partkey AS id, (p_partkey*37%101)/101.0::DOUBLE AS x, (p_partkey*53%103)/103.0::DOUBLE AS y, (p_partkey*71%107)/107.0::DOUBLE AS z,
 0.5::DOUBLE AS vx, 0.25::DOUBLE AS vy, 0.125::DOUBLE AS vz, 1e6*(1+p_size)::DOUBLE AS m FROM part WHERE p_partkey<64"""
@@ -390,11 +390,11 @@ _PULL = "6.674e-11*i.m*j.m*power((j.x-i.x)*(j.x-i.x)+(j.y-i.y)*(j.y-i.y)+(j.z-i.
 _FORCES = f"SELECT i.id, {', '.join(f'sum({_PULL}*(j.{a}-i.{a})) AS f{a}' for a in 'xyz')} FROM bodies i, bodies j GROUP BY 1"
 
 
-def _bodies(spark, sf_dir) -> DataFrame:
+def _bodies(spark, sf_dir, every: bool = False) -> DataFrame:
     i = F.col("p_partkey")
     place = {a: ((i * k) % p / F.lit(float(p))).alias(a) for a, k, p in (("x", 37, 101), ("y", 53, 103), ("z", 71, 107))}
     speed = [F.lit(v).alias(f"v{a}") for a, v in (("x", 0.5), ("y", 0.25), ("z", 0.125))]
-    return _table(spark, sf_dir, "part").filter(i < 64).select(i.alias("id"), *place.values(), *speed, (F.lit(1e6) * (1 + F.col("p_size"))).alias("m"))
+    return _table(spark, sf_dir, "part").filter(F.lit(every) | (i < 64)).select(i.alias("id"), *place.values(), *speed, (F.lit(1e6) * (1 + F.col("p_size"))).alias("m"))
 
 
 @_query(f"WITH bodies AS ({_BODIES}), f AS ({_FORCES}) SELECT id, round(fx,4) AS fx, round(fy,4) AS fy, round(fz,4) AS fz FROM f")
@@ -419,7 +419,7 @@ def nbody_step(spark, sf_dir):
 
 @_query()
 def nbody_k_steps(spark, sf_dir):
-    return nbody.simulate(_bodies(spark, sf_dir), 3).select("id", *(F.round(c, 8).alias(c) for c in (*nbody.AXES, "vx", "vy", "vz")))
+    return nbody.simulate(_bodies(spark, sf_dir, every=True), 3, blocks=True).select("id", *(F.round(c, 8).alias(c) for c in (*nbody.AXES, "vx", "vy", "vz")))
 
 
 # Runtime
