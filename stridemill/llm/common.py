@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import threading
 import uuid
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Word separators of the byte-oriented operators: space and U+0009 to U+000D. ``bytes.split()`` splits at just these.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
@@ -52,16 +53,17 @@ def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    place = new_folder(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver notice that finished jobs' shuffle files aren't needed any more, which otherwise waits for its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """``df`` written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing.
+
+    The write's shuffle files go as soon as it's done; nothing reads them again."""
+    spark, place = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -154,6 +154,45 @@ def test_suffix_dedup_against_brute_force(spark):
     assert suffix_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_never_goes_by_a_polynomial_hash(spark):
+    """Two texts without a common string of 100 bytes that polynomials modulo 2 ** 64 can't tell apart, whatever their base."""
+    rng = random.Random(11)
+    gram = "the same thirty-two byte string!"
+    marks = [f"{k:05d}" + "".join(rng.choice("bcdefg") for _ in range(31)) for k in range(1024)]
+    texts = ["".join(f"{gram}{m}{'xy'[(k.bit_count() + flip) % 2]}" for k, m in enumerate(marks)) for flip in (0, 1)]
+    a, b = (suffix_dedup.PrefixHash(np.frombuffer(t.encode(), np.uint8)) for t in texts)
+    size = len(texts[0])
+    assert a(np.array([0]), size) == b(np.array([0]), size)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == plain_dedup(list(enumerate(texts))) and all(v[1] == 0 for v in got.values())
+
+
+def test_suffix_dedup_of_long_periods(spark):
+    """Rules and paddings of a megabyte: all but the first is a repeat, and none is sorted."""
+    ten = [f"head {k} of ten {'-' * (1_000_000 + 13 * k)} tail {k}" for k in range(10)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(frame(spark, list(enumerate(ten)))).collect()}
+    assert got == plain_dedup(list(enumerate(ten)))
+    small = [f"{k} {'-=' * (150 + k)} {'abc' * 90}{k}" for k in range(6)] + ["=" * 301, "--" * 99, "x" + "=-" * 120]
+    rows = list(enumerate(small))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert got == plain_dedup(rows)
+
+
+def test_one_line_with_varying_surroundings_is_dealt_out(spark):
+    """No step gives a task one row for each document, though all share a line."""
+    rng = random.Random(12)
+    line = "a line of well over one hundred bytes that every document has somewhere between surroundings that nothing else has, " * 2
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = [word(rng.randint(80, 160)) + line + word(rng.randint(80, 160)) for _ in range(400)]
+    rows = list(enumerate(texts))
+    docs = frame(spark, rows).repartition(8)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(docs, most=500).collect()}
+    assert got == plain_dedup(rows)
+    made = docs.select("doc_id", "text").mapInArrow(suffix_dedup._run_batches(100), suffix_dedup._RUN_SCHEMA)
+    most = made.groupBy("deal").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 8  # a row and a mark from each batch
+
+
 def test_suffix_dedup_of_repeated_rows(spark):
     long, other = "row " * 60, "another text " * 20
     rows = [(1, long), (1, long), (2, long), (3, other), (3, long)]
