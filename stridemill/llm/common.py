@@ -66,6 +66,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each id, that with the smallest text digest (rows without an id all stay).
+
+    Of rows with one text the smallest hash of the other columns decides; where no id repeats, the input is returned."""
+    some = F.col(id_col).isNotNull()
+    twice = docs.filter(some).groupBy(id_col).count().filter("count > 1")
+    if twice.isEmpty():
+        return docs
+    own, least = fresh(docs, "own_order"), fresh(docs, "least_order")
+    plain = [f"`{f.name}`" for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    keyed = docs.filter(some).withColumn(own, F.struct(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), F.xxhash64(*plain)))
+    first = stored(keyed.groupBy(F.col(id_col).alias(fresh(docs, "of"))).agg(F.min(own).alias(least)), "first")
+    of = first.columns[0]
+    kept = keyed.join(first, (F.col(id_col) == F.col(of)) & (F.col(own) == F.col(least))).dropDuplicates([id_col]).select(*(f"`{c}`" for c in docs.columns))
+    return stored(kept.unionByName(docs.filter(~some)), "one-row-per-id")
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``doc_id`` and ``text`` (null as empty), whatever else the input has."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -9,8 +9,9 @@ orthogonal to all of theirs, so that table's mask avoids them and the two meet i
 Equal fingerprints are one row before any bucket is made. Within a bucket, fingerprints within the radius are compared
 in full and leave as spanning edges to the smallest id, never as all pairs.
 
-Edited copies move a fingerprint of long shingles by more than 4 bits, so ``near_duplicates`` can also take fingerprints of the
-distinct words, which edits hardly move, and have every pair that meets checked by a 256-bit fingerprint of the shingles.
+Edited copies move a fingerprint of shingles by more than a few bits, and no radius is certain to reach a given similarity of
+their shingle sets. ``without_duplicates`` with ``similarity`` therefore takes what the tables find for fingerprints of the
+distinct words, which edits hardly move, as proposals, counts the shingle sets in full, and has ``shingle_join`` complete the links.
 
 Defined results: documents without words have the zero fingerprint and are linked like any other; null texts are empty;
 texts are read whole; rows with a null id are left out; rows that share an id count as one node; an empty table gives
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_rows
+from .common import fresh, one_row_per_id, stored, text_rows
 from .components import components
 
 BITS = 64
@@ -56,34 +57,25 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(_majority(_hashes(words, shingle, seed))) if words else 0
 
 
-def word_fingerprint(text: str, shingle: int, seed: int = 42) -> tuple[int, bytes]:
-    """The fingerprint of the distinct words, and 256 bits of the shingles."""
+def word_fingerprint(text: str, seed: int = 42) -> int:
+    """The fingerprint of the distinct words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0, bytes(32)
-    h = _hashes(words, shingle, seed)
-    wide = [_majority(h)]
-    for k in (1, 2, 3):  # further hashes by bijections of the first
-        x = (h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        wide.append(_majority((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (x >> np.uint64(32))))
-    return int(_majority(_hashes(sorted(set(words)), 1, seed))), np.array(wide, "<u8").tobytes()
+    return int(_majority(_hashes(sorted(set(words)), 1, seed))) if words else 0
 
 
-def _fingerprint_batches(shingle: int, words: bool):
+def _fingerprint_batches(shingle: int):
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts = batch.column("text")
-            got = [word_fingerprint(t.as_py(), shingle) if words else (fingerprint(t.as_py(), shingle), b"") for t in texts]
-            prints = np.array([g[0] for g in got], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "fp", "wide"])
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
     return batches
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: a fingerprint's 64 bits as a long, wide: with ``words`` 256 bits of the shingles, else empty)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp: a fingerprint's 64 bits as a long)."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(_fingerprint_batches(shingle, words), "doc_id long, fp long, wide binary")
+    return rows.mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -98,12 +90,11 @@ def masks(radius: int) -> list[int]:
 SMALL = 32
 
 
-def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: np.ndarray, wide: np.ndarray, radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges (node, smallest node of its component) within buckets; rows of a bucket are sorted by node."""
 
     def linked(x, y):
-        near = np.bitwise_count(fp[x] ^ fp[y]) <= radius
-        return near & (np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= check) if wide.shape[1] else near
+        return np.bitwise_count(fp[x] ^ fp[y]) <= radius
 
     label = np.arange(len(fp))
     a, b = [], []
@@ -138,69 +129,66 @@ def _bucket_edges(starts: np.ndarray, sizes: np.ndarray, fp: np.ndarray, node: n
     return node[moved], node[label[moved]]
 
 
-def _edges(radius: int, check: int):
+def _edges(radius: int):
     def found(cols: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
         """Edges of the buckets that start at ``bounds[:-1]``; the last bound is their end."""
         n = int(bounds[-1])
-        wide = cols[4][:n]
-        u, v = _bucket_edges(bounds[:-1], np.diff(bounds), cols[2][:n].view(np.uint64), cols[3][:n], wide, radius, check)
+        u, v = _bucket_edges(bounds[:-1], np.diff(bounds), cols[2][:n].view(np.uint64), cols[3][:n], radius)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: list[list[np.ndarray]] = []  # the parts of the last bucket, which may go on in the next batch
         for batch in stream:
             if not len(batch):
                 continue
-            joined = b"".join(batch.column("wide").to_pylist())
-            cols = [*(np.asarray(batch.column(k)) for k in range(4)), np.frombuffer(joined, "<u8").reshape(len(batch), -1)]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+            cols = [np.asarray(batch.column(k)) for k in range(4)]
+            same = bool(kept) and cols[0][0] == kept[0][0][0] and cols[1][0] == kept[0][1][0]
             bounds = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            last = int(bounds[-1]) if len(bounds) else 0  # the last bucket may go on in the next batch
-            kept = [c[last:] for c in cols]
+            if same and not len(bounds):
+                kept.append(cols)
+                continue
+            if kept:
+                head = int(bounds[0]) if same else 0
+                whole = [np.concatenate(x) for x in zip(*kept, [c[:head] for c in cols], strict=True)]
+                yield found(whole, np.array([0, len(whole[0])]))
+                cols, bounds = [c[head:] for c in cols], bounds[1:] - head if same else bounds
+            last = int(bounds[-1]) if len(bounds) else 0
+            kept = [[c[last:] for c in cols]]
             if last:
                 yield found(cols, np.concatenate([[0], bounds]))
-        if kept is not None:
-            yield found(kept, np.array([0, len(kept[0])]))
+        if kept:
+            whole = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            yield found(whole, np.array([0, len(whole[0])]))
 
     return batches
 
 
-def links(prints: DataFrame, radius: int = 4, check: int = 0) -> DataFrame:
-    """Edges (u, v) that connect just the fingerprints linked within ``radius``. ``prints``: fp and wide, distinct, and node.
-
-    Where ``wide`` has bits, at most ``check`` of them may differ."""
+def links(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """Edges (u, v) that connect just the fingerprints linked within ``radius``. ``prints``: fp, distinct, and node."""
     tables = F.array(*(F.struct(F.lit(n).alias("table"), F.lit(m).alias("mask")) for n, m in enumerate(masks(radius))))
-    rows = prints.select("fp", "node", "wide", F.explode(tables).alias("t")).select(
-        F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp", "node", "wide"
-    )
-    return rows.repartition("table", "key").sortWithinPartitions("table", "key", "node").mapInArrow(_edges(radius, check), "u long, v long")
+    rows = prints.select("fp", "node", F.explode(tables).alias("t")).select(F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp", "node")
+    return rows.repartition("table", "key").sortWithinPartitions("table", "key", "node").mapInArrow(_edges(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: bool = False, check: int = 43, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every document; component_id is the smallest id that links reach.
-
-    With ``words``, distinct-word fingerprints meet in the tables and 256 bits of the shingles may differ in ``check``
-    places: 43 is the angle of two shingle sets of which 0.8 of the union is common, and a standard error more.
-    """
-    rows = stored(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    prints = stored(rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("node")), "prints")
-    found = components(links(prints, radius, check))
-    labels = stored(prints.join(found, "node", "left").select("fp", "wide", F.coalesce("component", "node").alias("component_id")), "labels")
-    return rows.join(labels, ["fp", "wide"]).select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` of every document; component_id is the smallest id that links reach."""
+    rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
+    found = components(links(prints, radius))
+    labels = stored(prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "labels")
+    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_duplicates(docs: DataFrame, **how) -> DataFrame:
+def without_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, exact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every component, the one with the smallest id; rows with a null id all stay.
 
-    With ``words`` an estimate would decide what goes, so components are those of the exact similarity of shingle sets instead.
+    With ``exact`` components are those of shingle sets of Jaccard similarity 0.8 or more: the tables propose, ``shingle_join`` decides.
     """
-    if how.get("words"):
+    if exact:
         from .shingle_join import without_duplicates as exactly  # which imports this module
 
-        return exactly(docs, how.get("shingle", 4), how.get("id_col", "doc_id"), how.get("text_col", "text"))
-    found = near_duplicates(docs, **how)
-    extra = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    if not docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
-    return docs.join(extra.hint("shuffle_hash"), F.col("doc_id") == F.col("__extra"), "left_anti")
+        return exactly(docs, shingle, radius, id_col, text_col)
+    docs = one_row_per_id(docs, id_col, text_col)
+    extra = fresh(docs, "extra")
+    gone = near_duplicates(docs, radius, shingle, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(extra))
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(extra), "left_anti")

@@ -75,7 +75,7 @@ def test_nothing_below_similarity_0_8_goes(spark):
     want = kept_by_brute_force(texts)
     assert stage(spark, texts) == want
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.without_duplicates(docs, radius=5, shingle=5, words=True).collect()} == want
+    assert {r["doc_id"] for r in simhash.without_duplicates(docs, radius=5, shingle=5, exact=True).collect()} == want
 
 
 def test_crowded_shingles_take_pivots_and_stay_exact(spark, monkeypatch):
