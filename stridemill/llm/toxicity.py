@@ -2,11 +2,13 @@
 
 Texts are folded first: lower case, homoglyphs and digit substitutions to plain letters, everything else to single blanks.
 Lexicon entries are words and word beginnings with a log-odds weight. One automaton pass over the folded text finds
-the entries at word starts; matches inside an exception phrase don't count. What a text has matched, in all and
-in proportion to its length, goes through a logistic curve fitted on the same labelled rows.
+the entries at word starts; matches inside an exception phrase (two words, one an entry's, found in clean labelled texts and
+in no toxic one) don't count. What a text has matched, in all and in proportion to its length, goes through a logistic curve.
+The curve is fitted on what the lexicon of one half of the labelled rows finds in the other, as entries fit their own rows too well.
 
 Defined results: null and empty texts match nothing and get the curve's value there; texts are read whole; repeated rows are
-scored each; an empty table gives an empty table; without labels of both kinds every score is 0; other columns are ignored.
+scored each; of rows that share a labelled id the text with the smallest digest is learned from; an empty table gives an empty
+table; without labels of both kinds in both halves every score is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import stored, text_rows
 
 # Look-alike letters of other scripts, digits and signs, and the letters that they stand for.
 _LOOKALIKES = "аa вb мm нh тt кk еe оo рp сc хx уy іi ѕs јj ԁd һh ԛq ԝw ɡg αa εe οo ρp νv κk ιi τt υu 0o 1i 3e 4a 5s 7t @a $s"
-#: The shortest and the longest word beginning that can be an entry.
+#: The shortest and the longest word beginning that can be an entry. Longer words are whole entries; their longer beginnings would
+#: say little more, and all those of a word take the square of its length.
 SHORTEST, LONGEST = 4, 9
 
 
@@ -78,7 +81,8 @@ class Lexicon:
             for e, w in self.weights.items():
                 self._auto.add_word(e, (len(e), w, False))
             for p in self.exceptions:
-                self._auto.add_word(f" {' '.join(fold(p).split())} ", (len(p) + 2, 0.0, True))
+                phrase = f" {' '.join(fold(p).split())} "
+                self._auto.add_word(phrase, (len(phrase), 0.0, True))
             self._auto.make_automaton()
         return self._auto
 
@@ -143,32 +147,77 @@ def _feature_batches(lexicon, keep: list[str]):
     return batches
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4096, most: int = 4000, odds: float = 3.0, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Learn entries, weights and the curve from the labelled rows that ``in_train`` allows.
+def _other_half(halves):
+    """Features of each labelled row by the lexicon of the half that it isn't in."""
 
-    ``sample`` bounds the labelled rows of each kind that are used (those with the smallest hash of the id), ``most`` the
-    entries. An entry must be found in toxic documents of both halves of the sample and have log-odds of ``odds`` or more in each, so
-    that it isn't the mark of a single document or of chance. A document labelled twice counts as toxic if any label says so.
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            kinds = batch.column("kind").to_pylist()
+            x = np.array([halves.value[1 - k // 2].features(t) for t, k in zip(batch.column("text").to_pylist(), kinds, strict=True)], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), *(pa.array(x[:, k]) for k in range(3))], ["kind", "f0", "f1", "f2"])
+
+    return batches
+
+
+def phrases(text: str, lexicon: Lexicon) -> set[str]:
+    """Each word that an entry matches, with the word before it and with the word after it."""
+    words = fold(text).split()
+    starts, at = {}, 0
+    for k, w in enumerate(words):
+        starts[at] = k
+        at += len(w) + 1
+    hit = {starts[end - size + 1] for end, (size, _, exempt) in lexicon.automaton().iter(f" {' '.join(words)} ") if not exempt} if words and lexicon.weights else set()
+    return {" ".join(words[k + d : k + d + 2]) for k in hit for d in (-1, 0) if k + d >= 0 and k + d + 2 <= len(words)}
+
+
+def _phrase_batches(lexicon):
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            found = [(p, k % 2) for t, k in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True) for p in phrases(t, lexicon.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32())], ["phrase", "toxic"])
+
+    return batches
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4096, least: int = 4, odds: float = 3.0, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Learn entries, weights, exception phrases and the curve from the labelled rows that ``in_train`` allows.
+
+    ``sample`` bounds the labelled rows of each kind that are used (those with the smallest hash of the id), and with them all that is
+    learned. An entry is found in ``least`` toxic documents or more and has log-odds of ``odds`` or more; an exception phrase is
+    found in two clean documents or more and in no toxic one. ``exceptions`` are added to the learned ones.
+    A document labelled twice counts as toxic if any label says so.
     """
+    spark = docs.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropna().filter(in_train()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     one = lambda y: ids.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
     chosen = one(0).unionAll(one(1)).select("doc_id", (half * 2 + F.col("toxic").cast("int")).alias("kind"))
-    rows = text_rows(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "kind").coalesce(32)
-    n = dict(chosen.groupBy("kind").count().collect())
+    smallest = F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256), "text", "kind")).alias("least")
+    rows = stored(text_rows(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(smallest).select("least.text", "least.kind"), "labelled")
+    n = dict(rows.groupBy("kind").count().collect())
     if not all(n.get(k) for k in range(4)):
         return Lexicon({}, exceptions)
-    counted = rows.mapInArrow(_entry_counts, "entry string, k0 long, k1 long, k2 long, k3 long").groupBy("entry").agg(*(F.sum(f"k{k}").alias(f"k{k}") for k in range(4)))
-    ratio = lambda a, b: F.log((F.col(f"k{a}") + 0.5) / (n[a] + 1)) - F.log((F.col(f"k{b}") + 0.5) / (n[b] + 1))
-    weight = F.log((F.col("k1") + F.col("k3") + 0.5) / (n[1] + n[3] + 1)) - F.log((F.col("k0") + F.col("k2") + 0.5) / (n[0] + n[2] + 1))
-    picked = counted.filter((F.col("k1") >= 2) & (F.col("k3") >= 2) & (ratio(1, 0) >= odds) & (ratio(3, 2) >= odds)).select("entry", F.round(weight, 6).alias("weight"))
-    lexicon = Lexicon({e: w for e, w in picked.orderBy(F.desc("weight"), "entry").limit(most).collect()}, exceptions)
-    model = docs.sparkSession.sparkContext.broadcast(lexicon)
-    got = rows.mapInArrow(_feature_batches(model, ["kind"]), "kind int, score double, f0 double, f1 double, f2 double").collect()
-    x, y = np.array([r[2:] for r in got], float), np.array([r[0] % 2 for r in got], float)
+    counted = rows.coalesce(32).mapInArrow(_entry_counts, "entry string, k0 long, k1 long, k2 long, k3 long").groupBy("entry").agg(*(F.sum(f"k{k}").alias(f"k{k}") for k in range(4)))
+
+    def weight(toxic: tuple[int, ...], clean: tuple[int, ...]) -> Column:
+        """The log-odds of an entry, null where it isn't one."""
+        of = lambda kinds: (sum(F.col(f"k{k}") for k in kinds), sum(n[k] for k in kinds))
+        (a, all_a), (b, all_b) = of(toxic), of(clean)
+        w = F.log((a + 0.5) / (all_a + 1)) - F.log((b + 0.5) / (all_b + 1))
+        return F.when((a >= least) & (w >= odds), F.round(w, 6))
+
+    columns = [weight((1, 3), (0, 2)).alias("w"), weight((1,), (0,)).alias("w0"), weight((3,), (2,)).alias("w1")]
+    picked = counted.select("entry", *columns).filter("w IS NOT NULL OR w0 IS NOT NULL OR w1 IS NOT NULL").collect()  # bounded by the sample
+    every, *halves = (Lexicon({r["entry"]: r[c] for r in picked if r[c] is not None}) for c in ("w", "w0", "w1"))
+    spoken = rows.mapInArrow(_phrase_batches(spark.sparkContext.broadcast(every)), "phrase string, toxic int").groupBy("phrase")
+    free = spoken.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter("toxic = 0 AND n >= 2").select("phrase").collect()
+    every.exceptions = tuple(sorted({r[0] for r in free} | set(exceptions)))
+    got = rows.mapInArrow(_other_half(spark.sparkContext.broadcast(halves)), "kind int, f0 double, f1 double, f2 double").collect()
+    x, y = np.array([r[1:] for r in got], float), np.array([r[0] % 2 for r in got], float)
     order = np.lexsort([*x.T, y])  # the same sums whatever the order of the rows
-    lexicon.curve = logistic(x[order], y[order])
-    return lexicon
+    every.curve = logistic(x[order], y[order])
+    every._auto = None
+    return every
 
 
 def score(docs: DataFrame, lexicon: Lexicon, reject: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
