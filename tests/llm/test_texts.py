@@ -1,9 +1,11 @@
 """Row-wise operators and the encoder, each against a plain version."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -115,6 +117,134 @@ def test_forest_paths():
     assert quality_forest.calibrated(np.array([0.9, 0.8, 0.2]), np.array([True, True, False]), 20) == (0.5, 1.0)
 
 
+def plain_path(forest, tree, x):
+    """Node by node, as a reader of the arrays would walk."""
+    node, depth = 0, 0
+    while forest.feature[tree, node] >= 0:
+        node = 2 * node + (2 if x[forest.feature[tree, node]] >= forest.split[tree, node] else 1)
+        depth += 1
+    assert forest.path[tree, node] >= depth  # the leaf's depth, and what its points would add
+    return forest.path[tree, node]
+
+
+def test_path_lengths_are_those_of_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=400), rng.integers(3, size=400), np.zeros(400), rng.exponential(size=400)])
+    forest = quality_forest.grow(x, trees=20, size=64)
+    assert (forest.feature != 2).all()  # nothing to split there
+    want = [2 ** (-np.mean([plain_path(forest, t, row) for t in range(20)]) / float(quality_forest.harmonic_path(64))) for row in x]
+    assert np.allclose(forest.score(x), want)
+
+
+def test_quality_query_against_a_plain_version_and_held_out_rows(spark):
+    data = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    count = lambda ids: np.array([quality_forest.statistics(texts[i]) for i in ids], np.int64)
+    passed = lambda ids: [i for i, f in zip(ids, quality_forest.base_failed(count(ids)), strict=True) if not f]
+    own = passed(sorted(labels))
+    verdicts = quality_forest.learned(count(own), np.array([labels[i] == 0 for i in own]), 100.0)
+    assert verdicts.groups[0][1] == [0, 1, 2, 3] and len(verdicts.groups) == 5
+    from stridemill.llm import queries
+
+    got = by_id(queries.op9_quality_forest(spark, data))
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        words, chars, symbols, dup, repeated = plain_statistics(t)
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_symbols"], got[i]["n_dup_lines"]) == (words, chars, symbols, dup)
+        repeated = got[i]["n_repeat_words"] if repeated is None else repeated
+        assert got[i]["n_repeat_words"] == repeated and got[i]["base_failed"] == (words < 50 or 100 * repeated > 50 * words)
+        x = quality_forest.ratios(count([i]))[0]
+        anomalous = any(
+            2 ** (-np.mean([plain_path(f, t, x[k]) for t in range(len(f.feature))]) / float(quality_forest.harmonic_path(f.size))) > limit + 1e-12 for f, k, limit in verdicts.groups
+        )
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not anomalous)
+    # learned without a third of the labels, which it then judges
+    train, held = ([i for i in own if (zlib.crc32(str(i).encode()) % 3 == 1) == h] for h in (False, True))
+    _, kept = quality_forest.learned(count(train), np.array([labels[i] == 0 for i in train]), 100.0)(count(held))
+    good = np.array([labels[i] == 1 for i in held])
+    assert kept[good].mean() > 0.99 and kept[~good].mean() < 0.1
+
+
+def plain_toxicity(texts, labels, halves):
+    """Entries, exception phrases and features counted text by text; the same curve."""
+    train = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1 and i in texts}
+    words = {i: toxicity.fold(t).split() for i, t in texts.items()}
+
+    def lexicon(half):
+        kind = {y: [i for i, z in train.items() if z == y and half in (None, halves[i])] for y in (0, 1)}
+        count = {y: Counter(e for i in kind[y] for e in toxicity.entries(set(words[i]))) for y in (0, 1)}
+        odds = {e: math.log((n + 0.5) / (len(kind[1]) + 1)) - math.log((count[0][e] + 0.5) / (len(kind[0]) + 1)) for e, n in count[1].items() if n >= 4}
+        return {e: round(w, 6) for e, w in odds.items() if w >= 3}
+
+    def hits(i, weights):
+        best = [max((weights[e] for e in toxicity.entries({w}) if e in weights), default=0.0) for w in words[i]]
+        return best
+
+    every = lexicon(None)
+    spoken = {y: Counter(p for i, z in train.items() if z == y for p in {tuple(words[i][a : a + 2]) for k, h in enumerate(hits(i, every)) if h for a in (k - 1, k) if 0 <= a <= len(words[i]) - 2}) for y in (0, 1)}
+    free = {p for p, n in spoken[0].items() if n >= 2 and not spoken[1][p]}
+
+    def features(i, weights, free=frozenset()):
+        h = hits(i, weights)
+        for a in range(len(h) - 1):
+            if tuple(words[i][a : a + 2]) in free:
+                h[a] = h[a + 1] = 0.0
+        return max(h, default=0.0), math.log1p(sum(h)), sum(h) / math.sqrt(max(1, len(h)))
+
+    half = {k: lexicon(k) for k in (0, 1)}
+    x, y = np.array([features(i, half[1 - halves[i]]) for i in train], float), np.array(list(train.values()), float)
+    order = np.lexsort([*x.T, y])
+    curve = toxicity.logistic(x[order], y[order])
+    return {i: 1 / (1 + math.exp(-min(30, max(-30, curve[0] + float(np.dot(features(i, every, free), curve[1:])))))) for i in texts}
+
+
+def test_toxicity_query_against_a_plain_version(spark):
+    data = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = spark.read.parquet(f"{data}/labels.parquet").selectExpr("doc_id", "toxic", "pmod(xxhash64(doc_id, 1), 2) AS half").collect()
+    from stridemill.llm import queries
+
+    got = by_id(queries.op8_toxicity(spark, data))
+    want = plain_toxicity(texts, {r["doc_id"]: r["toxic"] for r in rows}, {r["doc_id"]: r["half"] for r in rows})
+    assert got.keys() == want.keys()
+    assert all(abs(got[i]["score"] - want[i]) < 1e-6 and got[i]["predicted"] == (got[i]["score"] >= 0.7) for i in want)
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    from stridemill.llm import queries
+
+    data = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in queries.op8_toxicity(spark, data).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = [p for p, y in held if y == 1], [p for p, y in held if y == 0]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_exception_phrases_are_learned(spark):
+    texts, labels = [], []
+    for k in range(480):
+        toxic, free = k % 4 == 0, k % 4 == 1
+        texts.append(f"here stands the {'vile thing' if toxic else 'vile weed' if free and k % 60 == 1 else 'green leaf'} {k}")
+        labels.append((k, int(toxic)))
+    docs, labels = frame(spark, [*texts, None, "vile weed", "vile weed and vile thing"]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert "vile weed" in lexicon.exceptions and "vile thing" not in lexicon.exceptions
+    assert lexicon.features("a vile weed")[0] == 0 < lexicon.features("a vile weed and a vile thing")[0]
+
+
+def test_edges_of_learning(spark):
+    """Empty tables, and labelled ids with several texts: the smallest digest's is learned from, whatever the order."""
+    empty, labels = frame(spark, []), spark.createDataFrame([(k % 400, k % 2, k % 2) for k in range(400)], "doc_id long, toxic int, quality int")
+    assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
+    assert quality_forest.judge(empty, quality_forest.fit(empty, labels)).count() == 0
+    rows = [(k, f"word {'awful' if k % 2 else 'fine'} {k}") for k in range(400)] + [(k, f"other {k}") for k in range(0, 400, 5)] + [(None, "awful")]
+    made = [toxicity.learn(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 2), (rows[::-1], 5))]
+    assert made[0].weights == made[1].weights and made[0].exceptions == made[1].exceptions and (made[0].curve == made[1].curve).all()
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), made[0]).collect()
+    assert len(got) == len(rows)
+
+
 def test_toxicity_is_learned_and_held_out(spark):
     random.seed(2)
     word = lambda: random.choice(["the", "and", "house", "river", "table", "green", "walk", "stone"])
@@ -169,11 +299,24 @@ def test_cache_encodes_each_distinct_miss_once(spark, tmp_path):
     again = token_cache.count_tokens(frame(spark, ["copy", "a new text"]), path, cache, 1)
     assert {r["doc_id"]: r["over_limit"] for r in again.collect()} == {0: False, 1: True}
     assert spark.read.parquet(cache).count() == len({t or "" for t in texts}) + 1
+    token_cache.count_tokens(docs, path, cache, 512).count()
+    assert spark.read.parquet(cache).count() == len({t or "" for t in texts}) + 1  # a second run appends nothing
     other = token_cache.read_cache(spark, cache, "another tokenizer")
     assert other.count() == 0
     assert token_cache.count_tokens(docs.limit(0), path, str(tmp_path / "none"), 512).count() == 0
 
 
+def test_repeated_rows_are_encoded_once(spark, tmp_path):
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    rows = [(1, "same id, same text")] * 40 + [(None, "no id")] * 30 + [(2, "no id"), (2, "another text"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = token_cache.count_tokens(docs, path, cache, 2).collect()
+    assert len(got) == len(rows) and spark.read.parquet(cache).count() == 4
+    lib = Tokenizer.from_file(path)
+    want = Counter((i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
