@@ -20,13 +20,14 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derivatives(records).withColumnRenamed("source_id", "page_id")
 
 
-#: Languages get fixed shares; sources and topics are flattened.
-MIX_TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "source": 0.5, "topic": 0.7}
+#: Languages get fixed shares, with one in a hundred for all that aren't named; sources and topics are flattened. A third of the tokens is kept.
+MIX_TARGETS = {"lang": {"en": 0.39, "de": 0.22, "fr": 0.22, "es": 0.16}, "source": 0.5, "topic": 0.7}
+MIX_BUDGET = 1 / 3
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's calibrated probability and whether it's sampled."""
-    return mixing.probabilities(_table(spark, sf_dir, "documents"), mixing.form_topic(F.col("text")), MIX_TARGETS)
+    return mixing.probabilities(_table(spark, sf_dir, "documents"), mixing.word_topic(F.col("text")), MIX_TARGETS, MIX_BUDGET)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -291,12 +292,12 @@ def test_rake_meets_the_marginals():
 
 def mixed(spark):
     rng = random.Random(11)
-    rows = [(k, rng.choice(["s1", "s1", "s2", None]), rng.choice(["en", "de", None]), rng.choice(["a b c", "x | y", "mail@x", None, "line\nline " * 9]), 3) for k in range(3000)]
+    rows = [(k, rng.choice(["s1", "s1", "s2", None]), rng.choice(["en", "de", None]), rng.choice(["a house", "garden | y", "mountain a b", None, "wallpaper\nwallpaper " * 9]), 3) for k in range(3000)]
     return spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, probability int")
 
 
 def test_driver_and_table_raking_agree(spark):
-    rows = mixing.keyed(mixed(spark), mixing.form_topic(F.col("text")))
+    rows = mixing.keyed(mixed(spark), mixing.word_topic(F.col("text")))
     targets = {"lang": {"en": 0.6, "xx": 0.1}, "source": 0.5, "topic": 0.7}
     one, small = mixing.cell_probabilities(rows, targets, 0.3, sweeps=4)
     two, large = mixing.cell_probabilities(rows, targets, 0.3, sweeps=4, driver_cells=0)
@@ -304,11 +305,83 @@ def test_driver_and_table_raking_agree(spark):
     key = lambda df: {tuple(r)[:3]: r[3] for r in df.collect()}
     a, b = key(one), key(two)
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    said = lambda df: {tuple(r)[:3]: tuple(r)[4:] for r in df.collect()}
+    a, b = said(one), said(two.select(one.columns))
+    assert all(np.allclose(a[k], b[k], atol=2e-6) for k in a)
+
+
+def test_shares_that_tokens_cannot_fill_are_projected():
+    goal = mixing.feasible(np.array([0.5, 0.3, 0.2]), np.array([10.0, 60.0, 30.0]), 0.5)
+    assert np.allclose(goal, [0.2, 0.48, 0.32])
+    assert np.allclose(mixing.feasible(np.array([0.9, 0.1, 0.0]), np.array([10.0, 10.0, 80.0]), 0.5), [0.2, 0.2, 0.0])
+    assert np.allclose(mixing.feasible(np.array([0.5, 0.5]), np.array([50.0, 50.0]), 0.9), [0.5, 0.5])
+
+
+def plain_mix(rows, targets, budget):
+    """Raking by dictionaries: (source, lang, topic) -> probability, and (dimension, value) -> share reached."""
+    cells = Counter()
+    for cell, n in rows:
+        cells[cell] += n
+    total, kept, goals = sum(cells.values()), {c: budget * n for c, n in cells.items()}, []
+    for k, d in enumerate(mixing.DIMENSIONS):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[k]] += n
+        target = targets[d]
+        if isinstance(target, dict):
+            rest = sum(n for v, n in have.items() if v not in target)
+            left = max(0.0, 1 - sum(x for v, x in target.items() if v in have))
+            goal = {v: target[v] if v in target else left * n / rest for v, n in have.items()}
+        else:
+            goal = {v: n**target for v, n in have.items()}
+        goal = {v: x / sum(goal.values()) for v, x in goal.items()}
+        full = set()
+        while over := {v for v, x in goal.items() if v not in full and x > have[v] / (budget * total) + 1e-15}:
+            full |= over
+            scale = (1 - sum(have[v] / (budget * total) for v in full)) / sum(x for v, x in goal.items() if v not in full)
+            goal = {v: have[v] / (budget * total) if v in full else x * scale for v, x in goal.items()}
+        goals.append(goal)
+    for _ in range(100):
+        for k, goal in enumerate(goals):
+            now = Counter()
+            for c, x in kept.items():
+                now[c[k]] += x
+            kept = {c: min(cells[c], x * (goal[c[k]] * budget * total / now[c[k]] if now[c[k]] > 0 else 1)) for c, x in kept.items()}
+    reached = Counter()
+    for c, x in kept.items():
+        for d, v in zip(mixing.DIMENSIONS, c, strict=True):
+            reached[d, v] += x / sum(kept.values())
+    return {c: kept[c] / n if n else budget for c, n in cells.items()}, reached, goals
+
+
+def test_mixing_query_against_a_plain_version(spark):
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", mixing.uniform(F.col("doc_id"), 1).alias("u")).collect()
+    cell = {r["doc_id"]: (r["source"] or "(none)", r["lang"] or "(none)", mixing.leading_topic(r["text"])) for r in docs}
+    n = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs}
+    p, reached, goals = plain_mix([(cell[i], n[i]) for i in cell], queries.MIX_TARGETS, queries.MIX_BUDGET)
+    got = {r["doc_id"]: r for r in queries.op2_mixing(spark, data).collect()}
+    assert got.keys() == cell.keys()
+    for r in docs:
+        own, i = got[r["doc_id"]], r["doc_id"]
+        assert (own["source"], own["lang"], own["topic"]) == cell[i] and own["n_tokens"] == n[i]
+        assert abs(own["probability"] - p[cell[i]]) < 2e-5 and own["selected"] == (r["u"] < own["probability"])
+        for k, (d, v) in enumerate(zip(mixing.DIMENSIONS, cell[i], strict=True)):
+            assert abs(own[f"{d}_reached"] - reached[d, v]) < 1e-4 and abs(own[f"{d}_goal"] - goals[k][v]) < 1e-5
+            assert abs(own[f"{d}_reached"] - own[f"{d}_goal"]) < 0.005 and abs(own[f"{d}_target"] - own[f"{d}_goal"]) < 0.02
+    assert mixing.leading_topic("a bc") == mixing.leading_topic(None) == "none"
+    assert mixing.leading_topic("Garden garden meadow") == mixing.leading_topic("garden") != mixing.leading_topic("meadow meadow garden")
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = mixed(spark).withColumn("__mix_p", F.lit("own")).withColumn("__mix_source", F.lit(7))
+    got = mixing.sample(docs, mixing.word_topic(F.col("text")), {}, 0.5)
+    assert got.columns == docs.columns and got.filter("__mix_p = 'own' AND __mix_source = 7").count() == got.count() > 0
 
 
 def test_sample_is_decided_by_id_and_probability(spark):
     docs = mixed(spark)
-    topic = mixing.form_topic(F.col("text"))
+    topic = mixing.word_topic(F.col("text"))
     targets = {"lang": {"en": 0.6}, "source": 0.5}
     every = mixing.probabilities(docs, topic, targets, 0.4).collect()
     assert len(every) == 3000 and all(0 <= r["probability"] <= 1 for r in every)
