@@ -20,9 +20,11 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset (tests) a new folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset and all runs in one process (tests) a new folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="stridemill-")
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -47,8 +49,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
     """Delete the folders that this thread's operators have made, once what was read from them is stored elsewhere."""
     for place in [p for p in _made.paths if p not in keep]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, place)
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if place in _made.paths:
         _made.paths.remove(place)
 
 
@@ -63,7 +70,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(place)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(place)
+    made = spark.read.schema(df.schema).parquet(place)
+    made.place = place
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``stored`` has returned and nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.place)
 
 
 def fresh(df: DataFrame, name: str) -> str:

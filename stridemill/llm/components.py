@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
-def _with_least(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (u, v) with m, the least of u and its v. The minima are written first, so that a node with very many
+def _with_least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (u, v) with m, the least of u and its v; and the minima, which are written first, so that a node with very many
     neighbours is a skewed join, which Spark splits, and not one task's group."""
-    least = stored(rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("k"), "m"), name)
-    return rows.join(least, F.col("u") == F.col("k")).drop("k")
+    least = stored(rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("k"), "m"), "least")
+    return rows.join(least, F.col("u") == F.col("k")).drop("k"), least
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -25,10 +25,12 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = stored(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        large = stored(_with_least(both, "least").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        joined = _with_least(large, "least")
+        joined, first = _with_least(both)
+        large = stored(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        joined, second = _with_least(large)
         small = joined.select("u", F.col("m").alias("v")).unionAll(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct(), "edges")
+        old, edges = edges, stored(small.filter("u <> v").distinct(), "edges")
+        forget(old, both, first, large, second)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

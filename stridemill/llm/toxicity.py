@@ -127,15 +127,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 
 
 def _entry_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each entry by kind (fold * 2 + label), summed over the partition."""
+    """Documents with each entry by kind (fold * 2 + label), summed over parts of the partition that have few entries enough."""
     counts = [Counter() for _ in range(4)]
+
+    def emptied() -> Iterator[pa.RecordBatch]:
+        every = sorted(set().union(*counts))
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[e] for e in every], pa.int64()) for c in counts)], ["entry", "k0", "k1", "k2", "k3"])
+        for c in counts:
+            c.clear()
+
     for batch in stream:
         for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
             counts[kind].update(entries(set(fold(text).split())))
-    every = sorted(set().union(*counts))
-    for k in range(0, len(every), 50_000):
-        own = every[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *(pa.array([c[e] for e in own], pa.int64()) for c in counts)], ["entry", "k0", "k1", "k2", "k3"])
+            if sum(map(len, counts)) > 200_000:
+                yield from emptied()
+    yield from emptied()
 
 
 def _feature_batches(lexicon, keep: list[str]):
