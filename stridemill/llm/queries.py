@@ -92,39 +92,44 @@ QUERIES = {
 
 
 def _warc_sql() -> str:
-    w = warc_derivatives
+    """Written apart from the operator, with expressions of its own. Of the character references it knows those that the tables' pages hold."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     crlf = "chr(13) || chr(10)"
     uuid = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
     replaced = lambda x, pattern, by: f"regexp_replace({x}, {quoted(pattern)}, {by}, 'g')"
-    text = replaced("payload", w.HIDDEN, "' '")
-    text = replaced(text, "[ \\t\\r\\n\\f]+", "' '")
-    text = replaced(replaced(text, w.BREAKS, "chr(10)"), "(?s)<[/!?a-zA-Z][^>]*>", "''")
-    for entity, char in w.ENTITIES:
+    unseen = "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\b[^>]*>" for tag in ("head", "script", "style", "noscript", "template"))
+    block = "article|aside|blockquote|br|div|dl|dt|dd|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul"
+    text = replaced("payload", f"(?is)<!--.*?-->|{unseen}", "' '")
+    text = replaced(text, r"\s+", "' '")
+    text = replaced(text, rf"(?i)</?(?:{block})(?:[\s/][^>]*)?>", "chr(10)")
+    text = replaced(text, r"(?s)<[/!?[:alpha:]][^>]*>", "''")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·")):
         text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
-    text = replaced(replaced(replaced(text, "  +", "' '"), " ?\n[ \n]*", "chr(10)"), "^[ \n]+|[ \n]+$", "''")
-    one_line = lambda x: f"trim({replaced(x, '[ \\t\\r\\n]+', "' '")})"
+    text = replaced(text, "&amp;?", "'&'")
+    text = f"trim({replaced(replaced(text, ' +', quoted(' ')), ' ?\n[ \n]*', 'chr(10)')}, ' ' || chr(10))"
+    one_line = lambda x: f"trim({replaced(x, r'\s+', quoted(' '))})"
     headers = f"'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || {crlf}"
+    link = r"""(?i)<a[\s/](?:[^>]*?[\s/])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     return f"""
 WITH r AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, {headers} AS http_headers,
     md5('response|' || coalesce(url, '') || '|' || coalesce(CAST(page_id AS VARCHAR), '')) AS h FROM pages
 ), s AS (
   SELECT *, {uuid("h")} AS refers_to, 'sha256:' || sha256(payload) AS source_payload_digest, 'sha256:' || sha256(http_headers || payload) AS source_block_digest,
-    regexp_extract_all(payload, {quoted(w.LINK)}, 1) AS links FROM r
+    list_transform(regexp_extract_all(payload, {quoted(link)}, 1), lambda u: regexp_replace(u, '^["'']|["'']$', '', 'g')) AS links FROM r
 ), b AS (
   SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-    'title: ' || {one_line(f"regexp_extract(payload, {quoted(w.TITLE)}, 1)")} || {crlf}
-    || 'language: ' || regexp_extract(payload, {quoted(w.LANGUAGE)}, 1) || {crlf}
+    'title: ' || {one_line("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1)")} || {crlf}
+    || 'language: ' || regexp_extract(payload, '(?i)<html[^>]* lang="([^"]*)"', 1) || {crlf}
     || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-block-digest: ' || source_block_digest || {crlf}
-    || 'source-headers: ' || {one_line("http_headers")} || {crlf}
+    || 'source-headers: ' || {one_line("http_headers")} || {crlf} || 'assumed: date, http-headers' || {crlf}
     || coalesce(array_to_string(list_transform(links, lambda u: 'outlink: ' || u || {crlf}), ''), '') AS block FROM s
   UNION ALL
   SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM s
 ), i AS (SELECT *, md5(warc_type || '|' || refers_to) AS g FROM b)
 SELECT page_id, warc_type, {uuid("g")} AS record_id, refers_to, target_uri, '2024-01-01T00:00:00Z' AS date, content_type,
   CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_payload_digest, source_block_digest,
-  CAST(len(links) AS BIGINT) AS n_links, block FROM i
+  http_headers AS source_headers, CAST(len(links) AS BIGINT) AS n_links, block FROM i
 """
 
 

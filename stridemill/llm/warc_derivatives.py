@@ -1,21 +1,23 @@
 """WARC derivatives: a metadata and a conversion record for every response record.
 
-Both name the response in WARC-Refers-To and keep its target, date, payload and block digest and HTTP headers. The
-metadata record's block has fields found in the page (title, language, links out), the conversion record's block is
-its plain text. Record ids are name-based, so the same response gives the same records, run after run.
+Both name the response in WARC-Refers-To and keep its target, date, payload and block digest and HTTP headers, as columns and
+in written files. The metadata record's block has fields found in the page (title, language, links out), the conversion
+record's block is its plain text. Record ids are name-based, so the same response gives the same records, run after run.
 
 All of it is one narrow pass without a shuffle, in column expressions but for the character references, whose table has
 2231 names: those are decoded in Arrow batches, where a text has any.
 
+Raw pages come without date and HTTP headers; ``responses`` then assumes them, and the metadata record says so.
+
 Defined results: a null payload is an empty one and has an empty conversion; a null address is empty; pages are read whole; repeated rows give
 repeated records; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +29,8 @@ HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\
 # Expressions that Java and RE2 read alike.
 TITLE = "(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = '(?i)<html[^>]* lang="([^"]*)"'
-LINK = '(?i)<a [^>]*href="([^"]*)"'
+#: The address of a link with its quotes, double, single or none.
+LINK = "(?i)<a[ \\t\\r\\n/](?:[^>]*?[ \\t\\r\\n/])?href[ \\t\\r\\n]*=[ \\t\\r\\n]*(\"[^\"]*\"|'[^']*'|[^ \\t\\r\\n\"'>]+)"
 HIDDEN = (
     "(?s)<(?:!--.*?--|[hH][eE][aA][dD][ \\t\\r\\n>].*?</[hH][eE][aA][dD][^>]*|[sS][cC][rR][iI][pP][tT][ \\t\\r\\n>].*?</[sS][cC][rR][iI][pP][tT][^>]*"
     "|[sS][tT][yY][lL][eE][ \\t\\r\\n>].*?</[sS][tT][yY][lL][eE][^>]*|[nN][oO][sS][cC][rR][iI][pP][tT][ \\t\\r\\n>].*?</[nN][oO][sS][cC][rR][iI][pP][tT][^>]*"
@@ -39,10 +42,6 @@ BREAKS = (
     "(?i)</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|nav|header|footer|aside|main|blockquote|pre|form|figure|figcaption)"
     "(?:[ \\t\\r\\n/][^>]*)?>"
 )
-#: The references that the oracle's SQL knows; the operator decodes all.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-
-
 #: A character reference, decimal, hexadecimal or named; the semicolon may lack where HTML lets it.
 REFERENCE = re.compile("&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{0,31};?)")
 
@@ -79,7 +78,7 @@ def digest(block: Column) -> Column:
 
 
 def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Response records of raw pages: source_id, record_id, target_uri, date, http_headers, payload."""
+    """Response records of raw pages: source_id, record_id, target_uri, date, http_headers, assumed (which of these the pages don't say), payload."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     return pages.select(
         F.col(id_col).cast("long").alias("source_id"),
@@ -87,6 +86,7 @@ def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str
         url.alias("target_uri"),
         F.lit(date).alias("date"),
         F.lit(HTTP_HEADERS).alias("http_headers"),
+        F.lit("date, http-headers").alias("assumed"),
         F.coalesce(F.col(html_col), F.lit("")).alias("payload"),
     )
 
@@ -99,7 +99,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         digest(payload).alias("source_payload_digest"),
         digest(F.concat("http_headers", payload)).alias("source_block_digest"),
         plain_text(payload).alias("plain"),
-        F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)).alias("links"),
+        F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), lambda u: F.regexp_replace(u, "^[\"']|[\"']$", "")).alias("links"),
     )
     one_line = lambda c: F.trim(F.regexp_replace(c, "[ \\t\\r\\n]+", " "))
     fields = F.concat(
@@ -108,6 +108,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.lit("source-payload-digest: "), F.col("source_payload_digest"), crlf,
         F.lit("source-block-digest: "), F.col("source_block_digest"), crlf,
         F.lit("source-headers: "), one_line(F.col("http_headers")), crlf,
+        F.when(F.col("assumed") == "", "").otherwise(F.concat(F.lit("assumed: "), F.col("assumed"), crlf)),
         F.array_join(F.transform("links", lambda u: F.concat(F.lit("outlink: "), u, crlf)), ""),
     )
     kinds = F.array(
@@ -126,6 +127,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         digest(F.col("r.block")).alias("block_digest"),
         "source_payload_digest",
         "source_block_digest",
+        F.col("http_headers").alias("source_headers"),
         F.size("links").cast("long").alias("n_links"),
         "r.block",
     )
@@ -134,41 +136,79 @@ def derivatives(records: DataFrame) -> DataFrame:
 def record(row: DataFrame) -> DataFrame:
     """One column ``record``: WARC headers, blank line and block."""
     head = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
-            ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
+            ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("WARC-Source-Block-Digest", "source_block_digest"), ("WARC-Source-HTTP-Headers", "source_line"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
     lines = [x for name, col in head for x in (F.lit(f"{name}: "), F.col(col).cast("string"), F.lit("\r\n"))]
+    row = row.select("*", F.trim(F.regexp_replace("source_headers", "[ \\t\\r\\n]+", " ")).alias("source_line"))
     return row.select(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.col("block")).alias("record"))
 
 
 def write(derived: DataFrame, path: str) -> None:
-    """Write records as gzip-compressed WARC files, one per partition."""
+    """Write records as WARC files, one per partition. Spark's text sink makes one gzip member of a file, so its readers go from start to end."""
     record(derived).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 READ_SCHEMA = "headers map<string,string>, block binary"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file; header names in lower case."""
-    at = 0
-    while (head := re.compile(rb"\s*WARC/1\.\d\r\n").match(data, at)) is not None:
-        end = data.index(b"\r\n\r\n", head.end() - 2)
-        pairs = (line.partition(":") for line in data[head.end() : end].decode("utf-8", "replace").split("\r\n") if line)
+def unzipped(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes in parts of about ``size``, whether plain or gzip of one or more members."""
+    if raw[:2] != b"\x1f\x8b":
+        yield from (raw[k : k + size] for k in range(0, len(raw), size))
+        return
+    while raw:
+        member = zlib.decompressobj(31)
+        while not member.eof and (raw or member.unconsumed_tail):
+            yield member.decompress(raw, size)
+            raw = member.unconsumed_tail
+        raw = member.unused_data
+
+
+def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a WARC file given in parts; header names in lower case. It holds one record at a time."""
+    held, at = bytearray(), 0
+    parts = iter(parts)
+
+    def more() -> bool:
+        nonlocal at
+        part = next(parts, None)
+        del held[:at]
+        at = 0
+        held.extend(part or b"")
+        return part is not None
+
+    while True:
+        while (end := held.find(b"\r\n\r\n", re.compile(rb"\s*").match(held, at).end())) < 0:
+            if not more():
+                return
+        head = re.compile(rb"\s*WARC/1\.\d\r\n").match(held, at)
+        if head is None:
+            return
+        pairs = (line.partition(":") for line in bytes(held[head.end() : end]).decode("utf-8", "replace").split("\r\n") if line)
         headers = {k.strip().lower(): v.strip() for k, _, v in pairs}
-        size = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size, at = int(headers.get("content-length", 0)), end + 4
+        while len(held) - at < size and more():
+            pass
+        yield headers, bytes(held[at : at + size])
+        at += size
+
 
+def read(spark: SparkSession, path: str, most: int = 8_000_000) -> DataFrame:
+    """(headers, block) of the records of WARC files, plain or gzip, in batches of about ``most`` bytes; a larger record is a batch of its own."""
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of the records of WARC files, plain or gzip."""
+    def batch_of(rows: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
+        headers = pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string()))
+        return pa.RecordBatch.from_arrays([headers, pa.array([b for _, b in rows], pa.binary())], ["headers", "block"])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for content in batch.column("content"):
-                raw = content.as_py()
-                rows = list(parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in rows], pa.binary())], ["headers", "block"]
-                )
+                rows, held = [], 0
+                for row in parse(unzipped(content.as_py())):
+                    rows.append(row)
+                    held += len(row[1])
+                    if held > most:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(batches, READ_SCHEMA)

@@ -1,5 +1,7 @@
 """Character references in conversion records, against values written out by hand."""
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from stridemill.llm import warc_derivatives
@@ -20,3 +22,30 @@ def test_every_character_reference_is_decoded_once(spark):
     pages = spark.createDataFrame([(k, f"<p>{page}</p>") for k, page in enumerate(CASES)], "k int, page string")
     got = {r["k"]: r["text"] for r in pages.select("k", warc_derivatives.plain_text(F.col("page")).alias("text")).collect()}
     assert got == dict(enumerate(CASES.values()))
+
+
+def test_links_in_any_quoting(spark):
+    html = """<a href="/1">a</a><A class=x HREF='/2?a="b"'>b</A><a\nhref=/3>c</a><a data-href="/no">d</a><a id=5 href = "/5" title=">">e</a><abbr href="/no">f</abbr><a href="">g</a>"""
+    pages = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
+    rows = {r["warc_type"]: r for r in warc_derivatives.derivatives(warc_derivatives.responses(pages, "x")).collect()}
+    assert [x for x in rows["metadata"]["block"].split("\r\n") if x.startswith("outlink")] == ["outlink: /1", 'outlink: /2?a="b"', "outlink: /3", "outlink: /5", "outlink: "]
+    assert "assumed: date, http-headers\r\n" in rows["metadata"]["block"]
+    assert rows["conversion"]["source_headers"] == rows["metadata"]["source_headers"] == warc_derivatives.HTTP_HEADERS
+
+
+def test_written_records_keep_headers_and_are_read_in_bounded_parts(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://{k}/", f"<p>{'text ' * (5000 * k)}</p>") for k in range(6)], "page_id long, url string, html string")
+    derived = warc_derivatives.derivatives(warc_derivatives.responses(pages, "2024-01-01T00:00:00Z"))
+    warc_derivatives.write(derived.coalesce(1), str(tmp_path / "w"))
+    back = warc_derivatives.read(spark, str(tmp_path / "w/*.gz"), most=10_000).collect()
+    assert len(back) == 12
+    want = {r["record_id"]: r for r in derived.collect()}
+    for r in back:
+        own = want[r["headers"]["warc-record-id"]]
+        assert bytes(r["block"]).decode() == own["block"] and r["headers"]["warc-source-block-digest"] == own["source_block_digest"]
+        assert "text/html" in r["headers"]["warc-source-http-headers"] and r["headers"]["warc-refers-to"] == own["refers_to"]
+    one = b"WARC/1.1\r\nContent-Length: 5\r\nA: b\r\n\r\nab\r\nc\r\n\r\n"
+    members = gzip.compress(one) + gzip.compress(one * 2)
+    for size in (1, 7, 10_000):
+        assert list(warc_derivatives.parse(warc_derivatives.unzipped(members, size))) == [({"content-length": "5", "a": "b"}, b"ab\r\nc")] * 3
+        assert list(warc_derivatives.parse(warc_derivatives.unzipped(one, size))) == [({"content-length": "5", "a": "b"}, b"ab\r\nc")]
