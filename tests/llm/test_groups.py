@@ -253,6 +253,8 @@ def test_top_k_against_all_scores(spark):
         got = threshold_topk.top_k(v, v.filter("id % 50 = 0"), 5, block=block, query_block=3)
         assert {tuple(r) for r in got.collect()} == want
     assert threshold_topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
+    told = threshold_topk.report(v.filter("size(x) = 6"), v.filter("id % 50 = 0 AND size(x) = 6"), 5).collect()
+    assert len(told) == sum(i % 50 == 0 and len(x) == 6 for i, x in ok) and all(0 < r["scored"] <= r["candidates"] == sum(len(x) == 6 for _, x in ok) for r in told)
 
 
 def test_lists_are_left_early_where_the_bound_allows():
@@ -262,15 +264,15 @@ def test_lists_are_left_early_where_the_bound_allows():
     block = threshold_topk.Block(np.arange(5000), x)
     read = []
     scores = block.scores
-    block.scores = lambda rows, q: (read.append(len(rows)), scores(rows, q))[1]
-    ids, _ = block.top_k(-1, np.array([3, 2, 5]), 5)
-    assert set(ids.tolist()) <= set(range(8)) and sum(read) < 500
+    block.scores = lambda rows, q, products: (read.append(len(rows)), scores(rows, q, products))[1]
+    ids, _, scored = block.top_k(-1, np.array([3, 2, 5]), 5)
+    assert set(ids.tolist()) <= set(range(8)) and sum(read) == scored < 500
 
 
 def test_large_components_stay_exact():
     big = 2**61
     block = threshold_topk.Block(np.array([1, 2, 3]), np.array([[big, 1], [big, 2], [5, 5]]))
-    ids, score = block.top_k(3, np.array([4, 1]), 2)
+    ids, score, _ = block.top_k(3, np.array([4, 1]), 2)
     assert ids.tolist() == [2, 1] and list(score) == [4 * big + 2, 4 * big + 1]
 
 
