@@ -13,5 +13,13 @@ class LengthMismatch(EngineError, ValueError):
     """Two positional inputs of different lengths."""
 
 
+class StartFailed(EngineError, RuntimeError):
+    """A session that couldn't be started or has been stopped."""
+
+
+class UnsupportedPlatform(EngineError, NotImplementedError):
+    """Something that the session's cluster can't do."""
+
+
 class OutOfBounds(EngineError, IndexError):
     """A position outside the vector."""

@@ -16,7 +16,7 @@ from ..errors import InvalidParameter
 
 def _workers(workers: int) -> int:
     if workers <= 0:
-        raise InvalidParameter("Threads count must be greater than zero")
+        raise InvalidParameter("at least one worker is needed")
     return workers
 
 

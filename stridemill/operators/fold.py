@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
@@ -34,14 +35,18 @@ def fold_python(frame: IndexedFrame, zero: Callable[[], Any], fold: Callable[[An
     """
     workers = frame.schedule.workers
     if slots is not None and slots < workers:
-        raise InvalidParameter("scratch space must cover all threads")
+        raise InvalidParameter("fewer slots than workers")
     schema = f"thread_index long, value {schema_type}"
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scratch: dict[int, Any] = {}
         for rows in frames:
-            for worker, own in rows.groupby("thread_index"):
-                scratch[worker] = fold(scratch[worker] if worker in scratch else zero(), own)
+            worker = rows["thread_index"].to_numpy()
+            cuts = [0, *(np.flatnonzero(worker[1:] != worker[:-1]) + 1).tolist(), len(worker)]  # rows of a worker mostly lie together
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    k = int(worker[a])
+                    scratch[k] = fold(scratch[k] if k in scratch else zero(), rows.iloc[a:b])
         yield pd.DataFrame({"thread_index": list(scratch), "value": list(scratch.values())})
 
     def final(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

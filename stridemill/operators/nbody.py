@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
-from .pairs import against_all
+from .pairs import against_all, by_blocks
 
 # Fixed values of the simulation.
 GRAVITY = 6.674e-11
@@ -18,10 +18,9 @@ TIME_STEP = 0.01
 SOFTENING = 1e-9
 
 AXES = ("x", "y", "z")
-
-
-#: Bodies up to which their positions are broadcast as arrays (a few MB); the count is checked.
-BLOCK_BODIES = 200_000
+#: Pairs that one block of rows and bodies holds at a time: its arrays stay in a core's cache.
+TILE = (64, 512)
+_FORCE_SCHEMA = "id long, fx double, fy double, fz double"
 
 
 def inverse_cube(squared: Column) -> Column:
@@ -29,8 +28,8 @@ def inverse_cube(squared: Column) -> Column:
     return 1 / (squared * F.sqrt(squared))
 
 
-def forces(bodies: DataFrame) -> DataFrame:
-    """(id, fx, fy, fz): the sum over all bodies; a body's own term is exactly zero."""
+def forces_by_pairs(bodies: DataFrame) -> DataFrame:
+    """(id, fx, fy, fz) from a row per pair, by expressions alone: to check ``forces`` with."""
     i = bodies.select("id", *AXES, "m")
     j = bodies.select(*(F.col(a).alias(f"j{a}") for a in (*AXES, "m")))
     delta = {a: F.col(f"j{a}") - F.col(a) for a in AXES}
@@ -40,31 +39,47 @@ def forces(bodies: DataFrame) -> DataFrame:
     return terms.groupBy("id").agg(*(F.sum(F.col("pull") * F.col(f"d{a}")).alias(f"f{a}") for a in AXES))
 
 
-def forces_in_blocks(bodies: DataFrame, block: int = 512) -> DataFrame:
-    """The same as ``forces``, with the sums over all bodies taken by NumPy in blocks: no row per pair and no shuffle.
-
-    Beyond BLOCK_BODIES it is ``forces``.
+def _pulls(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What bodies ``others`` (x, y, z, m) pull at places ``own`` (x, y, z) with, for unit mass and constant."""
+    out = np.zeros((3, own.shape[1]))
+    tall, wide = TILE
+    buffers = [np.empty(TILE) for _ in range(5)]
+    for i in range(0, own.shape[1], tall):
+        rows = own[:, i : i + tall]
+        for j in range(0, others.shape[1], wide):
+            at = others[:, j : j + wide]
+            *delta, squared, pull = (b[: rows.shape[1], : at.shape[1]] for b in buffers)
+            squared.fill(SOFTENING)
+            for k in range(3):
+                np.subtract(at[k][None], rows[k][:, None], out=delta[k])
+                np.multiply(delta[k], delta[k], out=pull)
+                squared += pull
+            np.sqrt(squared, out=pull)
+            pull *= squared
+            np.divide(at[3][None], pull, out=pull)
+            for k in range(3):
+                out[k, i : i + tall] += np.einsum("ij,ij->i", pull, delta[k])
+    return out
+
+
+def _kernel(parts: Iterator[pa.Table], others: pa.Table) -> pa.Table:
+    columns = lambda table, names: np.stack([np.asarray(table.column(c), float) for c in names])
+    every, out = columns(others, ("jx", "jy", "jz", "jm")), []
+    for part in parts:
+        pull = _pulls(columns(part, AXES), every) * (GRAVITY * np.asarray(part.column("m"), float))
+        out.append(pa.table([part.column("id").cast(pa.int64()), *(pa.array(p) for p in pull)], names=["id", "fx", "fy", "fz"]))
+    empty = pa.table([pa.array([], pa.int64()), *(pa.array([], pa.float64()) for _ in AXES)], names=["id", "fx", "fy", "fz"])
+    return pa.concat_tables([empty, *out])
+
+
+def forces(bodies: DataFrame, **how) -> DataFrame:
+    """(id, fx, fy, fz): the sum over all bodies; a body's own term is exactly zero.
+
+    Bodies meet in blocks (``pairs.by_blocks``), which NumPy sums, so no row stands for a pair; sums of blocks are then added.
     """
-    if bodies.count() > BLOCK_BODIES:
-        return forces(bodies)
-    spark = bodies.sparkSession
-    every = spark.sparkContext.broadcast(bodies.select(*AXES, "m").toPandas().to_numpy(dtype=float).T.copy())
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        *at, mass = every.value
-        for frame in frames:
-            out = np.zeros((3, len(frame)))
-            own = frame[[*AXES]].to_numpy(dtype=float).T
-            for j in range(0, len(mass), block):
-                delta = [a[None, j : j + block] - o[:, None] for a, o in zip(at, own, strict=True)]
-                squared = delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2] + SOFTENING
-                pull = mass[j : j + block] / (squared * np.sqrt(squared))
-                for k in range(3):
-                    out[k] += np.einsum("ij,ij->i", pull, delta[k])
-            out *= GRAVITY * frame["m"].to_numpy(dtype=float)
-            yield pd.DataFrame({"id": frame["id"], "fx": out[0], "fy": out[1], "fz": out[2]})
-
-    return bodies.select("id", *AXES, "m").mapInPandas(batches, "id long, fx double, fy double, fz double")
+    others = bodies.select(F.col("id").alias("jid"), *(F.col(a).alias(f"j{a}") for a in (*AXES, "m")))
+    found = by_blocks(bodies.select("id", *AXES, "m"), others, "id", "jid", _kernel, _FORCE_SCHEMA, 40, **how)
+    return found.groupBy("id").agg(*(F.sum(f"f{a}").alias(f"f{a}") for a in AXES))
 
 
 def applied(bodies: DataFrame, pulls: DataFrame) -> DataFrame:
@@ -74,12 +89,12 @@ def applied(bodies: DataFrame, pulls: DataFrame) -> DataFrame:
     return bodies.join(pulls, "id").select("id", *(x[a].alias(a) for a in AXES), *(v[a].alias(f"v{a}") for a in AXES), "m")
 
 
-def step(bodies: DataFrame, blocks: bool = False) -> DataFrame:
-    return applied(bodies, forces_in_blocks(bodies) if blocks else forces(bodies))
+def step(bodies: DataFrame, blocks: bool = True) -> DataFrame:
+    return applied(bodies, forces(bodies) if blocks else forces_by_pairs(bodies))
 
 
-def simulate(bodies: DataFrame, steps: int, write_every: int = 1, blocks: bool = False) -> DataFrame:
-    """``steps`` steps, with forces in ``blocks`` if wanted. State is written to the shared folder as it goes, or plans would grow with the steps."""
+def simulate(bodies: DataFrame, steps: int, write_every: int = 1, blocks: bool = True) -> DataFrame:
+    """``steps`` steps, with forces in ``blocks`` unless pairs are wanted. State is written to the shared folder as it goes, or plans would grow with the steps."""
     for k in range(1, steps + 1):
         bodies = step(bodies, blocks)
         if k % write_every == 0 and k < steps:

@@ -18,7 +18,7 @@ class ShardedVector:
 
     def __init__(self, vector: PositionalVector, shards: int = 4):
         if shards <= 0:
-            raise InvalidParameter("Colocations count must be greater than zero")
+            raise InvalidParameter("at least one shard is needed")
         self.vector, self.shards = vector, shards
 
     @classmethod

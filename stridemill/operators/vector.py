@@ -55,7 +55,7 @@ class PositionalVector:
 
     def reserve(self, more: int) -> PositionalVector:
         if self.length + more >= 2**63:
-            raise OutOfBounds("Capacity overflow")
+            raise OutOfBounds("more elements than positions can number")
         return self
 
     # growing and shrinking

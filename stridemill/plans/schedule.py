@@ -5,19 +5,31 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
-from ..functions.split import owner_col
+from ..functions.split import block_count_col, block_first_col, owner_col
 
 
 class Schedule(Protocol):
-    """What an indexed frame needs of a policy."""
+    """What an indexed frame needs of a policy; anything with these three can stand in for it."""
 
     workers: int
 
-    def place(self, df: DataFrame, key: str, n: int) -> DataFrame: ...
+    def place(self, df: DataFrame, key: str, n: int) -> DataFrame:
+        """The rows in the partitions that the policy wants."""
+        ...
+
+    def slices(self, spark: SparkSession, n: int) -> DataFrame:
+        """(slice_index, first, count): the ranges that tasks 0 to n - 1 are handed out in."""
+        ...
+
+
+def _slices(spark: SparkSession, n: int, parts: int) -> DataFrame:
+    k = F.col("slice_index")
+    every = spark.range(parts).withColumnRenamed("id", "slice_index").select(k, block_first_col(k, n, parts).alias("first"), block_count_col(k, n, parts).alias("count"))
+    return every.filter("count > 0")
 
 
 @dataclass(frozen=True)
@@ -28,24 +40,32 @@ class Static:
 
     def __post_init__(self):
         if self.workers <= 0:
-            raise InvalidParameter("Threads count must be greater than zero")
+            raise InvalidParameter("at least one worker is needed")
 
     def place(self, df: DataFrame, key: str, n: int) -> DataFrame:
         """Rows of slice k in partition k, ascending: a shuffle, so only for kernels that need the physical slices."""
         placed = df.repartitionById(self.workers, owner_col(F.col(key), n, self.workers).cast("int"))
         return placed.sortWithinPartitions(key)
 
+    def slices(self, spark: SparkSession, n: int) -> DataFrame:
+        return _slices(spark, n, self.workers)
+
 
 @dataclass(frozen=True)
 class Dynamic:
-    """``factor`` times as many partitions as ``workers``; whichever worker is free takes the next."""
+    """Whichever worker is free takes the next partition: what Spark does with a scan's splits as they are, so nothing moves.
+
+    How small the splits are is ``spark.sql.files.maxPartitionBytes``; ``factor`` slices for each worker are what ``slices`` tells."""
 
     workers: int = 8
     factor: int = 4
 
     def __post_init__(self):
         if self.workers <= 0 or self.factor <= 0:
-            raise InvalidParameter("Threads count must be greater than zero")
+            raise InvalidParameter("at least one worker is needed")
 
     def place(self, df: DataFrame, key: str, n: int) -> DataFrame:
-        return df.repartition(self.workers * self.factor, key)
+        return df
+
+    def slices(self, spark: SparkSession, n: int) -> DataFrame:
+        return _slices(spark, n, self.workers * self.factor)

@@ -12,24 +12,37 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from . import __version__
-from .errors import InvalidParameter
+from .errors import InvalidParameter, StartFailed, UnsupportedPlatform
 
 
 def session(name: str = "stridemill", cores: int | str = "*", config: dict[str, str] | None = None) -> SparkSession:
     """A session with the engine's defaults; on a cluster the submit configuration wins."""
     if cores != "*" and int(cores) <= 0:
-        raise InvalidParameter("Threads count must be greater than zero")
+        raise InvalidParameter("at least one worker is needed")
     defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.showConsoleProgress": "false"}
     builder = SparkSession.builder.appName(name).config(map=defaults | (config or {}))
     if not SparkSession.getActiveSession():
         builder = builder.master(f"local[{cores}]")
-    return builder.getOrCreate()
+    try:
+        return builder.getOrCreate()
+    except Exception as e:
+        raise StartFailed(str(e)) from e
+
+
+def terminate(spark: SparkSession) -> None:
+    """End the session; what runs is cancelled, and a second call does nothing."""
+    if not spark.sparkContext._jsc or spark.sparkContext._jsc.sc().isStopped():
+        return
+    spark.sparkContext.cancelAllJobs()
+    spark.stop()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, which driver and executors share; where that's unset (tests), in a new folder."""
+    """A new path in ``spark.checkpoint.dir``, which driver and executors share; where that's unset and all runs in one process (tests), in a new folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise UnsupportedPlatform("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="stridemill-")
         spark.conf.set("spark.checkpoint.dir", place)
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -105,10 +118,16 @@ class Action:
         self.join()
 
 
+def started(loop: Callable[[], DataFrame], name: str = "loop") -> Action:
+    """A loop (``for_n``, ``for_n_dynamic``, ``for_slices`` or any other plan) that runs in the background from now on; ``join`` returns what
+    it made, as a table in the shared folder, and so reads it as often as wanted without running it again."""
+    return Action(lambda: written(loop(), name)).start()
+
+
 def broadcast_to_workers(spark: SparkSession, workers: int, function: Callable[[int], Any], simultaneous: bool = False) -> DataFrame:
     """One row per worker with what ``function`` returns for its number, as text. ``simultaneous``: all at once, in barrier mode."""
     if workers <= 0:
-        raise InvalidParameter("Threads count must be greater than zero")
+        raise InvalidParameter("at least one worker is needed")
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

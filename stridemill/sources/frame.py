@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter, LengthMismatch
 from ..functions.split import owner_col, to_local, to_shard
-from ..plans.schedule import Schedule, Static
+from ..plans.schedule import Dynamic, Schedule, Static
 
 KEY = "task_index"
 
@@ -57,6 +58,19 @@ class IndexedFrame:
         """The payload with some columns overwritten or added."""
         return self._with(self.df.withColumns(columns))
 
+    def update_static(self, **columns: Column) -> IndexedFrame:
+        """``update`` with each worker's rows in one partition, in order."""
+        return self._with(Static(self.schedule.workers).place(self.df.withColumns(columns), KEY, self.length))
+
+    def update_dynamic(self, **columns: Column) -> IndexedFrame:
+        """``update`` with rows wherever they are: whichever worker is free takes the next."""
+        return self.with_schedule(Dynamic(self.schedule.workers)).update(**columns)
+
+    def update_with_prong(self, columns: Callable[[Column, Column], dict[str, Column]], shards: int = 4) -> IndexedFrame:
+        """``update`` by columns of the worker and the shard that have a row."""
+        prong = self.with_prong(shards)
+        return self._with(prong.df.withColumns(columns(F.col("thread_index"), F.col("colocation_index"))).drop("thread_index", "colocation_index"))
+
     def filter(self, predicate: Column) -> IndexedFrame:
         """Rows for which the predicate is true (null counts as false). Keys stay, length stays."""
         return self._with(self.df.filter(predicate))
@@ -70,13 +84,22 @@ class IndexedFrame:
 
         return self._with(self.df.mapInPandas(batches, schema))
 
+    def map_index_python(self, function: Callable[[int], Any], kind: str) -> IndexedFrame:
+        """``value`` from an opaque function of the bare index."""
+        return self.map_python(lambda rows: pd.DataFrame({KEY: rows[KEY], "value": [function(int(i)) for i in rows[KEY]]}), f"{KEY} long, value {kind}")
+
+    def map_prong_python(self, function: Callable[[int, int, int], Any], kind: str, shards: int = 4) -> IndexedFrame:
+        """``value`` from an opaque function of index, worker and shard."""
+        told = lambda rows: [function(*map(int, r)) for r in zip(rows[KEY], rows["thread_index"], rows["colocation_index"], strict=True)]
+        return self._with(self.with_prong(shards).map_python(lambda rows: pd.DataFrame({KEY: rows[KEY], "value": told(rows)}), f"{KEY} long, value {kind}").df)
+
     def filter_python(self, predicate: Callable[[pd.DataFrame], pd.Series]) -> IndexedFrame:
         return self.map_python(lambda frame: frame[predicate(frame).astype(bool)], self.df.schema)
 
     def zip(self, other: IndexedFrame, names: tuple[str, str] = ("left", "right"), columns: tuple[str, str] = ("value", "value")) -> IndexedFrame:
         """Pairs of equal index; lengths must be equal."""
         if self.length != other.length:
-            raise LengthMismatch("zip requires equal lengths")
+            raise LengthMismatch("only frames of one length can be zipped")
         left = self.df.select(KEY, F.col(columns[0]).alias(names[0]))
         right = other.df.select(KEY, F.col(columns[1]).alias(names[1]))
         return self._with(left.join(right, KEY))
@@ -102,7 +125,7 @@ class IndexedFrame:
     def sharded(self, shards: int) -> IndexedFrame:
         """With the round-robin ``colocation_index`` and ``local_index``."""
         if shards <= 0:
-            raise InvalidParameter("Colocations count must be greater than zero")
+            raise InvalidParameter("at least one shard is needed")
         return self._with(self.df.withColumns({"colocation_index": to_shard(F.col(KEY), shards), "local_index": to_local(F.col(KEY), shards)}))
 
     # terminals
@@ -120,3 +143,17 @@ class IndexedFrame:
     def for_each(self, effect: Callable[[Iterator], None]) -> None:
         """Run ``effect`` over the rows of each partition. A retried task repeats its effects: at least once."""
         self.placed().foreachPartition(effect)
+
+    def for_each_static(self, effect: Callable[[Iterator], None]) -> None:
+        self.with_schedule(Static(self.schedule.workers)).for_each(effect)
+
+    def for_each_dynamic(self, effect: Callable[[Iterator], None]) -> None:
+        self.with_schedule(Dynamic(self.schedule.workers)).for_each(effect)
+
+    def for_each_with_prong(self, effect: Callable[[Iterator], None], shards: int = 4) -> None:
+        """As ``for_each``; rows have their worker and shard."""
+        self.with_prong(shards).for_each(effect)
+
+    def slices(self) -> DataFrame:
+        """The ranges that the schedule hands tasks out in."""
+        return self.schedule.slices(self.df.sparkSession, self.length)

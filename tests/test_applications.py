@@ -35,7 +35,7 @@ def test_sharded_and_global_search_agree(spark):
 def test_all_pairs_do_not_need_a_broadcast(spark):
     left = spark.range(50)
     right = spark.range(7).withColumnRenamed("id", "other")
-    big = against_all(left, right, "id", broadcast_rows=3, blocks=4)
+    big = against_all(left, right, "id", broadcast_bytes=3, blocks=4)
     assert "NestedLoop" not in big._jdf.queryExecution().toString() and "Cartesian" not in big._jdf.queryExecution().toString()
     assert {tuple(r) for r in big.collect()} == {(a, b) for a in range(50) for b in range(7)}
     assert "BroadcastNestedLoopJoin" in against_all(left, right, "id")._jdf.queryExecution().toString()
@@ -63,9 +63,28 @@ def test_simulation_follows_numpy(spark, steps):
         assert np.allclose(got, np.hstack([x, v]), rtol=1e-9)
 
 
-def test_blocks_give_way_beyond_their_bound(spark, monkeypatch):
-    start = generators.bodies(spark, 30, masses=(1e6, 1e7))
-    one = {r["id"]: r["fx"] for r in nbody.forces_in_blocks(start, block=7).collect()}
-    monkeypatch.setattr(nbody, "BLOCK_BODIES", 3)
-    two = {r["id"]: r["fx"] for r in nbody.forces_in_blocks(start).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) <= 1e-9 * abs(one[k]) for k in one)
+def test_forces_by_pairs_and_by_both_kinds_of_blocks_agree(spark):
+    start = generators.bodies(spark, 130, masses=(1e6, 1e7))
+    by = lambda df: {r["id"]: (r["fx"], r["fy"], r["fz"]) for r in df.collect()}
+    want = by(nbody.forces_by_pairs(start))
+    for how in ({}, {"broadcast_bytes": 0, "block": 37}):
+        got = by(nbody.forces(start, **how))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+    assert nbody.forces(start.limit(0)).count() == 0
+
+
+def test_search_blocks_agree_with_scores_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), [float(x) for x in rng.integers(-3, 4, size=5)]) for k in range(300)]  # many ties
+    rows += [(300, None), (301, []), (302, [1.0, None, 0.0, 0.0, 0.0]), (303, [math.nan] * 5), (304, [0.0] * 5), (305, [1.0, 2.0]), (306, [2.0, 1.0]), (None, [1.0] * 5), (307, [math.inf, 0.0, 0.0, 0.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = corpus.filter("vec_id % 20 = 0 OR vec_id > 300")
+    for score, largest in (("dot", True), ("cosine", False)):
+        want = {}
+        for q, i, s in search.scored(corpus, queries, score).filter("query_id IS NOT NULL AND best_index IS NOT NULL AND score IS NOT NULL").collect():
+            order = (-s if largest else s, i)
+            want[q, i % 4] = min(want.get((q, i % 4), order), order)
+        for how in ({}, {"broadcast_bytes": 0, "block": 50}):
+            got = search.best_by_shard(corpus, queries, score, 4, **how).collect()
+            assert {(r["query_id"], r["colocation_index"]): r["best_index"] for r in got} == {k: i for k, (_, i) in want.items()}
+    assert search.search_dot(corpus.limit(0), queries).count() == search.search_dot(corpus, queries.limit(0)).count() == 0

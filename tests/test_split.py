@@ -22,7 +22,7 @@ def test_every_small_split_covers_its_range_evenly():
 
 def test_no_workers_is_an_error():
     for call in (lambda: split.balanced_range(3, 0, 0), lambda: split.owner(0, 1, 0), lambda: split.largest_block(1, -1)):
-        with pytest.raises(InvalidParameter, match="Threads count must be greater than zero"):
+        with pytest.raises(InvalidParameter, match="at least one worker"):
             call()
 
 

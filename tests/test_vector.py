@@ -50,7 +50,7 @@ def test_bounds(spark):
         with pytest.raises(OutOfBounds):
             call()
     assert v.get(3).first() is None and v.get(range(1, 4)).count() == 0 and v.get(range(1, 3)).count() == 2
-    with pytest.raises(OutOfBounds, match="Capacity overflow"):
+    with pytest.raises(OutOfBounds, match="more elements than positions"):
         v.reserve(2**63)
     assert (v.capacity(), v.capacity(5, 4), v.capacity(3, 4)) == (4, 8, 4)
 
