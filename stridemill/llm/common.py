@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark's setting that removes a query's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings for what ``stored`` writes: a query's shuffle files go at its end, and Python gets rows in small batches, as texts may be long.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Word separators of the byte-oriented operators: space and U+0009 to U+000D. ``bytes.split()`` splits at just these.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
@@ -64,12 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     The write's shuffle files go as soon as it's done; nothing reads them again."""
     spark, place = df.sparkSession, new_folder(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         df.write.parquet(place)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     made = spark.read.schema(df.schema).parquet(place)
     made.place = place
     return made

@@ -78,12 +78,43 @@ def test_nothing_below_similarity_0_8_goes(spark):
     assert {r["doc_id"] for r in simhash.without_duplicates(docs, radius=5, shingle=5, exact=True).collect()} == want
 
 
-def test_crowded_shingles_take_pivots_and_stay_exact(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "PAIRS", 0)
+def test_crowded_shingles_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "WORDS", 1)
     texts = edited(2)[:90]
     assert stage(spark, texts) == kept_by_brute_force(texts)
 
 
+def test_parity_bits_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(6)
+    ruled_out = dissimilar = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 900))
+        a = set(rng.integers(2**64, size=n, dtype=np.uint64).tolist())
+        b = {x for x in a if rng.random() > rng.choice([0.02, 0.1, 0.3])} | set(rng.integers(2**64, size=rng.integers(0, n // 5 + 2), dtype=np.uint64).tolist())
+        if not b or not a:
+            continue
+        least = shingle_join.apart(*(shingle_join.parity(np.array(sorted(s), np.uint64)) for s in (a, b)))
+        assert least <= len(a ^ b)
+        out = 9 * least > len(a) + len(b)
+        assert not (out and similar(a, b))
+        dissimilar += not similar(a, b)
+        ruled_out += out
+    assert ruled_out > 0.5 * dissimilar > 100
+
+
+def test_groups_propose_what_bits_allow():
+    rng = np.random.default_rng(7)
+    base = rng.integers(2**64, size=300, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, int(rng.integers(120, 300)), replace=False), rng.integers(2**64, size=rng.integers(0, 40), dtype=np.uint64))) for _ in range(80)]
+    n, bits, component = np.array([len(s) for s in sets]), [shingle_join.parity(s) for s in sets], rng.integers(3, size=80) * (rng.random(80) > 0.5)
+    want = {
+        (a, b) for b in range(80) for a in range(b)
+        if component[a] != component[b] and 9 * shingle_join.apart(bits[a], bits[b]) <= n[a] + n[b] and 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b])
+    }
+    u, v = shingle_join._Group(np.arange(80), n, component, bits).pairs()
+    assert set(zip(u.tolist(), v.tolist(), strict=True)) == want and len(want) > 20
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     frequent = np.sort(rng.integers(2**32, size=40).astype(np.uint64))
