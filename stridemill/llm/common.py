@@ -83,6 +83,21 @@ def forget(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.place)
 
 
+#: A key is hot if more rows carry it than a HOT-th of an even share of one shuffle partition.
+HOT = 4
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows``, which are stored, joined to the one row of ``values`` for each ``key``.
+
+    Keys that more rows carry than a task should get are joined by broadcast: by that measure there are at most HOT for each
+    shuffle partition, whatever the data. The others are joined by a shuffle, whose tasks then stay even."""
+    share = rows.count() / (HOT * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = stored(rows.groupBy(key).count().filter(F.col("count") > share).select(key).join(values, key), "hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case of its letters."""
     have = {c.lower() for c in df.columns}

@@ -8,8 +8,7 @@ Normalisation here is null to empty and UTF-8, nothing more: anything stronger w
 The cache is a Parquet folder of (digest, tokenizer, n_tokens), written in append mode; a failed append leaves no
 half-read files, and a row that two runs have both appended is read once.
 
-Rows get their counts by a join on the digest. Digests that more rows carry than a task should get are joined by
-broadcast instead: by that measure there are at most ``HOT`` for each shuffle partition, whatever the data.
+Rows get their counts by a join on the digest, in which digests that very many rows carry are dealt with apart.
 
 Defined results: null or empty texts count 0; whole texts are encoded whatever their length; repeated rows and rows with a null or
 repeated id each get their count, and their text is encoded once; an empty table gives an empty table; columns other than
@@ -25,12 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_rows
+from .common import slices, spread_join, stored, text_rows
 from .pieces import Pieces
 
-#: A digest is hot if more rows carry it than a HOT-th of an even share of one shuffle partition.
-HOT = 4
-
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -115,8 +111,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int, i
     rows = stored(digests(docs, id_col, text_col), "digests")
     update_cache(docs, tokenizer_path, cache, id_col, text_col, rows)
     counts = read_cache(spark, cache, file_digest(tokenizer_path))
-    share = rows.count() / (HOT * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = stored(rows.groupBy("digest").count().filter(F.col("count") > share).join(counts, "digest").select("digest", "n_tokens"), "hot")
-    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(counts, "digest")
-    joined = rows.join(F.broadcast(hot), "digest").unionByName(rest)
-    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return spread_join(rows, counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
