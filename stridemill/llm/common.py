@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,25 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import shared_folder
+
 #: Spark's settings for what ``stored`` writes: a query's shuffle files go at its end, and Python gets rows in small batches, as texts may be long.
 SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Word separators of the byte-oriented operators: space and U+0009 to U+000D. ``bytes.split()`` splits at just these.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset and all runs in one process (tests) a new folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = tempfile.mkdtemp(prefix="stridemill-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
 class _Made(threading.local):
     def __init__(self):
         self.paths: list[str] = []
@@ -42,7 +29,7 @@ _made = _Made()
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    _made.paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    _made.paths.append(shared_folder(spark, name))
     return _made.paths[-1]
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 #: Up to so many cells are raked on the driver and broadcast (a few dozen MB); the count is checked, more are raked as a table.
 DRIVER_CELLS = 200_000
@@ -151,12 +151,14 @@ def _rake_table(cells: DataFrame, goals: dict[str, DataFrame], budget: float, sw
     total = budget * cells.agg(F.sum("tokens")).first()[0]
     cells = cells.withColumn("kept", F.col("tokens") * budget)
     for _ in range(sweeps):
-        before = cells.select(*_KEYS, F.col("kept").alias("before"))
+        before, old = cells.select(*_KEYS, F.col("kept").alias("before")), []
         for d in DIMENSIONS:
             have = cells.groupBy(f"__mix_{d}").agg(F.sum("kept").alias("have")).join(goals[d].select(f"__mix_{d}", "goal"), f"__mix_{d}")
             ratio = have.select(f"__mix_{d}", F.when(F.col("have") > 0, F.col("goal") * total / F.col("have")).otherwise(1.0).alias("ratio"))
-            cells = stored(cells.join(ratio, f"__mix_{d}").withColumn("kept", F.least(F.col("kept") * F.col("ratio"), F.col("tokens").cast("double"))).drop("ratio"), "cells")
+            last, cells = cells, stored(cells.join(ratio, f"__mix_{d}").withColumn("kept", F.least(F.col("kept") * F.col("ratio"), F.col("tokens").cast("double"))).drop("ratio"), "cells")
+            old.append(last)
         moved = cells.join(before, _KEYS).agg(F.sum(F.abs(F.col("kept") - F.col("before")))).first()[0]
+        forget(*(t for t in old if hasattr(t, "place")))
         if moved / total < tolerance:
             break
     return cells
@@ -172,6 +174,7 @@ def cell_probabilities(rows: DataFrame, targets: Mapping[str, Target], budget: f
     cells = stored(rows.groupBy(*_KEYS).agg(F.sum("__mix_tokens").alias("tokens")), "cells")
     if cells.count() <= driver_cells:
         got = sorted(map(tuple, cells.collect()))
+        forget(cells)
         tokens = np.array([r[3] for r in got], float)
         kept, said = budget * tokens, np.zeros((len(got), len(_MARGINALS)))
         if tokens.sum() > 0:

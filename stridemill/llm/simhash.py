@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, one_row_per_id, spread_join, stored, text_rows
+from .common import forget, fresh, one_row_per_id, spread_join, stored, text_rows
 from .components import components
 
 BITS = 64
@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
     found = components(links(prints, radius))
     labels = stored(prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "labels")
+    forget(prints)
     return spread_join(rows, labels, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_rows
+from .common import forget, stored, text_rows
 
 # Look-alike letters of other scripts, digits and signs, and the letters that they stand for.
 _LOOKALIKES = "аa вb мm нh тt кk еe оo рp сc хx уy іi ѕs јj ԁd һh ԛq ԝw ɡg αa εe οo ρp νv κk ιi τt υu 0o 1i 3e 4a 5s 7t @a $s"
@@ -220,6 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4096, least: int = 4
     every.exceptions = tuple(sorted({r[0] for r in free} | set(exceptions)))
     got = rows.mapInArrow(_other_half(spark.sparkContext.broadcast(halves)), "kind int, f0 double, f1 double, f2 double").collect()
     x, y = np.array([r[1:] for r in got], float), np.array([r[0] % 2 for r in got], float)
+    forget(rows)
     order = np.lexsort([*x.T, y])  # the same sums whatever the order of the rows
     every.curve = logistic(x[order], y[order])
     every._auto = None

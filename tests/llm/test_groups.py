@@ -463,3 +463,56 @@ def test_pipeline_stages_decide_as_their_operators_do(spark, tmp_path):
     assert set(kept["secrets"]) == set(kept["near_duplicates"]) and not any("hunter2" in (r["text"] or "") for r in kept["secrets"].values())
     assert set(kept["mixing"]) <= set(kept["secrets"]) and set(kept["packing"]) == set(kept["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == current.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, ties, clashing names; and no documents at all."""
+    long = "word " * 30_000
+    rows = [(None, None, None, None, None), (None, "no id", "en", "s", 5), (1, None, None, None, 0), (2, "", "en", None, 0), (3, long, None, "s", len(long)), (4, long, "de", "s", 1)]
+    rows += [(5, "one text of this id, password=hunter2hunter2", "en", "s", None), (5, "another text of this id", "en", "s", None), (6, "same row", "en", "s", 8), (6, "same row", "en", "s", 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, own, labels in (("some", rows, [(1, 1, 1), (2, 0, 0), (None, 1, 1), (3, None, None)]), ("none", [], []), ("unlabelled", rows, [])):
+        docs = spark.createDataFrame([(*r, "extra", 1, 2.0) for r in own], f"{schema}, __mix_p string, node int, score double")
+        (tmp_path / name).mkdir()
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        current = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, function in corpus_pipeline.STAGES[:4]:
+            function(spark, current, str(tmp_path / name)).write.parquet(str(tmp_path / name / stage))
+            current = spark.read.parquet(str(tmp_path / name / stage))
+            assert current.columns == docs.columns
+            if stage == "near_duplicates" and own:
+                kept = [(r["doc_id"], r["text"]) for r in current.collect()]
+                one = min(("one text of this id, password=hunter2hunter2", "another text of this id"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+                assert sorted(kept, key=repr) == sorted([(None, None), (None, "no id"), (1, None), (3, long), (5, one), (6, "same row")], key=repr)
+        made = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert made.columns[:3] == ["doc_id", "start", "length"] and (own or made.count() == 0)
+
+
+def test_recall_of_near_duplicates_by_similarity(spark):
+    """Against all pairs of sf0.1 with similarity 0.8 or more: every band is found whole, and nothing below is linked on its own."""
+    from stridemill.llm import shingle_join
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    component = {r["doc_id"]: r["component_id"] for r in shingle_join.near_duplicates(docs).collect()}
+    sets = {}
+    for r in docs.collect():
+        sets.setdefault(shingle_join.shingle_set(r["text"] or "", 5).tobytes(), r["doc_id"])
+    nodes = [(i, np.frombuffer(b, np.uint64)) for b, i in sets.items()]
+    meets = {}
+    for k, (_, s) in enumerate(nodes):
+        for h in s[: len(s) // 5 + 1].tolist():  # the smallest hashes are a prefix in the order of hashes
+            meets.setdefault(h, []).append(k)
+    pairs = {(a, b) for ks in meets.values() for b in ks for a in ks if a < b}
+    found, roots = {}, {i: i for i, _ in nodes}
+    for a, b in pairs:
+        (i, x), (j, y) = nodes[a], nodes[b]
+        if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            similarity = common / max(1, len(x) + len(y) - common)
+            if similarity >= 0.8:
+                found.setdefault(int(similarity * 20), []).append(component[i] == component[j])
+                low, high = sorted((roots[i], roots[j]))
+                roots = {k: low if r == high else r for k, r in roots.items()} if low != high else roots
+    assert sum(map(len, found.values())) > 40 and all(all(x) for x in found.values())
+    assert all(component[i] == r for i, r in roots.items())
