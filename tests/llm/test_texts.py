@@ -342,6 +342,20 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs.limit(0), path, end=2).count() == 0
 
 
+def test_row_wise_operators_take_null_and_repeated_ids(spark):
+    rows = [(None, "alpha beta token=abcdefgh12"), (None, None), (7, "same"), (7, "same"), (7, "other text of the id"), (8, "x " * 200_000)]
+    docs = spark.createDataFrame([(*r, "extra", 3) for r in rows], "doc_id long, text string, spans string, n_words int")
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2).collect()
+    assert sorted((r["doc_id"] is None, r["doc_tokens"] == 1) for r in packed if r["start"] == 0).count((True, True)) == 1
+    assert sum(r["start"] == 0 for r in packed) == len(rows)
+    assert all(sum(r["length"] for r in packed if r["doc_id"] == 8) == r["doc_tokens"] for r in packed if r["doc_id"] == 8)
+    scanned = secret_scan.scan_documents(docs).collect()
+    assert len(scanned) == len(rows) and sum(r["n_assign"] for r in scanned) == 1
+    judged = quality_forest.judge(docs, quality_forest.Verdicts([])).collect()
+    assert len(judged) == len(rows) and sum(r["n_words"] for r in judged) == 3 + 0 + 1 + 1 + 5 + 200_000
+    assert toxicity.score(docs, toxicity.Lexicon({})).count() == len(rows)
+
+
 def test_poured_tail_is_powers_of_two():
     packer = packing.Packer(8, 0, 0, 0)
     packing.poured([(1, 0, np.arange(13, dtype="<u4"), 13), (2, 0, np.arange(8, dtype="<u4"), 8)], packer)
