@@ -111,8 +111,11 @@ def test_groups_propose_what_bits_allow():
         (a, b) for b in range(80) for a in range(b)
         if component[a] != component[b] and 9 * shingle_join.apart(bits[a], bits[b]) <= n[a] + n[b] and 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b])
     }
-    u, v = shingle_join._Group(np.arange(80), n, component, bits).pairs()
-    assert set(zip(u.tolist(), v.tolist(), strict=True)) == want and len(want) > 10
+    group = shingle_join._Group(np.arange(80), n, component, bits)
+    told = lambda closest: [x for u, v in group.pairs(closest) for x in zip(u.tolist(), v.tolist(), strict=True)]
+    assert set(told(None)) == want and len(want) > 10
+    bulk = np.bincount(component).argmax()
+    assert set(told(2)) <= want and {x for p in want for x in p if component[x] != bulk} <= {x for p in told(2) for x in p} and len(told(2)) <= 3 * 2 * 80
 
 
 def test_prefixes_of_similar_sets_meet():
