@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import shared_folder
 
-#: Spark's settings for what ``stored`` writes: a query's shuffle files go at its end, and Python gets rows in small batches, as texts may be long.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Spark's settings for what ``stored`` writes: a query's shuffle files go at its end; rows that Python gets at once.
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Word separators of the byte-oriented operators: space and U+0009 to U+000D. ``bytes.split()`` splits at just these.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
@@ -46,14 +46,15 @@ def _delete(spark: SparkSession, place: str) -> None:
         _made.paths.remove(place)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing.
 
-    The write's shuffle files go as soon as it's done; nothing reads them again."""
+    The write's shuffle files go as soon as it's done; nothing reads them again. ``batch``: rows that Python gets at once, where they are long."""
     spark, place = df.sparkSession, new_folder(df.sparkSession, name)
-    before = {k: spark.conf.get(k) for k in SETTINGS}
+    settings = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        for k, v in SETTINGS.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         df.write.parquet(place)
     finally:
