@@ -20,9 +20,13 @@ an empty table gives an empty table; target values that don't occur are ignored
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,21 +46,27 @@ def word_count(text: Column) -> Column:
 
 #: Words this long or longer can name a topic; shorter ones are mostly grammar.
 TOPIC_WORD = 6
+WORD = re.compile("[^ \\t\\n\\x0b\\f\\r]+")
 
 
-def word_topic(text: Column, topics: int = 8) -> Column:
+def leading_topic(text: str | None, topics: int = 8) -> str:
     """The class, of ``topics``, of the word of TOPIC_WORD characters or more that a text has most (of equally frequent ones the first
-    in order); "none" without such words. Texts about one thing keep naming it, so they share a class: what stands in for a topic
-    model where a table has no topics."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.length(w) >= TOPIC_WORD)
-    state = lambda word, n, best, most: F.struct(word.alias("word"), n.alias("n"), best.alias("best"), most.alias("most"))
+    in order); "none" without such words. Texts about one thing keep naming it, so they share a class."""
+    count = Counter(w for w in WORD.findall((text or "").lower()) if len(w) >= TOPIC_WORD)
+    if not count:
+        return "none"
+    most = max(count.values())
+    return f"topic{zlib.crc32(min(w for w, n in count.items() if n == most).encode('utf-8', 'surrogatepass')) % topics}"
+
+
+def word_topic(text: Column, topics: int = 8) -> Column:
+    """``leading_topic`` of a column: what stands in for a topic model where a table has no topics. In Arrow batches; the same by
+    expressions over sorted arrays of words took three times the CPU."""
 
-    def counted(s: Column, w: Column) -> Column:
-        n = F.when(w == s["word"], s["n"] + 1).otherwise(F.lit(1))
-        return state(w, n, F.when(n > s["most"], w).otherwise(s["best"]), F.greatest(n, s["most"]))
+    def batches(texts: pa.Array) -> pa.Array:
+        return pa.array([leading_topic(t, topics) for t in texts.to_pylist()], pa.string())
 
-    best = F.aggregate(F.sort_array(words), state(F.lit(""), F.lit(0), F.lit(""), F.lit(0)), counted, lambda s: s["best"])
-    return F.when(best == "", "none").otherwise(F.concat(F.lit("topic"), (F.crc32(best.cast("binary")) % topics).cast("string")))
+    return F.arrow_udf(batches, "string")(text)
 
 
 _KEYS = [f"__mix_{d}" for d in DIMENSIONS]
