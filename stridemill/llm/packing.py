@@ -37,7 +37,7 @@ _encoders: dict[str, Pieces] = {}
 
 
 def encoder(path: str) -> Pieces:
-    """The word-end encoder of this worker process; what it has learned serves later tasks."""
+    """The word-end encoder of this worker process."""
     if path not in _encoders:
         _encoders[path] = Pieces(path, blanks=False)
     return _encoders[path]
@@ -128,6 +128,7 @@ def _pack(path: str, end: int, size: int, windows: int, slack: int):
                 w[1] = [(d, s, i if i.base is None else i.copy(), t) for d, s, i, t in w[1]]
             yield rows(packer.out)
             packer.out = []
+        encoder(path).forget()  # or an idle worker would hold what it learned through the stages that follow
         left = sorted(packer.open, key=lambda w: -w[0])
         flat = [(d, s, len(i), 0, t, k, o) for k, w in enumerate(left) for o, (d, s, i, t) in enumerate(w[1])]
         cols = list(zip(*flat, strict=True)) or [()] * len(_NAMES)
