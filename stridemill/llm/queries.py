@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_forest, secret_scan, simhash, suffix_dedup, threshold_topk, token_cache, toxicity, warc_derivatives
+from . import alignment, fm_dedup, mixing, packing, quality_forest, secret_scan, simhash, suffix_dedup, threshold_topk, token_cache, toxicity, warc_derivatives, whitening
 from .common import new_folder
 
 
@@ -76,6 +76,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
 
+def op11_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once windows of 50 words that earlier documents have are gone."""
+    return fm_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's two tokenisations."""
+    a = (alignment.ByteLevel, public_tokenizers.path("byte_bpe_50k.json"))
+    b = (alignment.Sentence, public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(_table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's deviation and its whitened values by the first four components."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_mixing": op2_mixing,
@@ -87,6 +104,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_forest": op9_quality_forest,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_fm_dedup": op11_fm_dedup,
+    "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 
@@ -144,5 +164,18 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_fm_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM k JOIN f USING (h) WHERE first < doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+o AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT doc_id, list(ws[i] ORDER BY i) AS kept FROM o ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)
 """,
 }
