@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
@@ -69,3 +69,31 @@ class Dynamic:
 
     def slices(self, spark: SparkSession, n: int) -> DataFrame:
         return _slices(spark, n, self.workers * self.factor)
+
+
+@dataclass(frozen=True)
+class Weighted:
+    """Slices of equal ``cost`` (a column of the rows), contiguous in the key, rows of a mean or more alone; ``factor`` slices for each worker, so that whoever is free takes the next."""
+
+    workers: int
+    cost: Column
+    factor: int = 4
+
+    def __post_init__(self):
+        if self.workers <= 0 or self.factor <= 0:
+            raise InvalidParameter("at least one worker is needed")
+
+    def sliced(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows with their ``slice_index``."""
+        from ..operators.scans import cost_slices
+
+        return cost_slices(df, [key], self.cost, self.workers * self.factor)
+
+    def place(self, df: DataFrame, key: str, n: int) -> DataFrame:
+        """Rows of slice k in partition k, ascending: one scan of the costs and one shuffle."""
+        placed = self.sliced(df, key).repartitionById(2 * self.workers * self.factor, F.col("slice_index").cast("int"))
+        return placed.sortWithinPartitions(key).drop("slice_index")
+
+    def slices(self, spark: SparkSession, n: int) -> DataFrame:
+        """Where costs aren't known: slices of equal length."""
+        return _slices(spark, n, self.workers * self.factor)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter, LengthMismatch
 from ..functions.split import owner_col, to_local, to_shard
+from ..operators.scans import is_dense, numbered
 from ..plans.schedule import Dynamic, Schedule, Static
 
 KEY = "task_index"
@@ -23,8 +24,8 @@ class IndexedFrame:
     the rows that are left. Nothing runs before an action on the frame that a terminal returns.
     """
 
-    def __init__(self, df: DataFrame, length: int, start: int = 0, schedule: Schedule | None = None):
-        self.df, self.length, self.start, self.schedule = df, length, start, schedule or Static()
+    def __init__(self, df: DataFrame, length: int, start: int = 0, schedule: Schedule | None = None, whole: bool = True):
+        self.df, self.length, self.start, self.schedule, self.whole = df, length, start, schedule or Static(), whole
 
     # sources
 
@@ -40,15 +41,26 @@ class IndexedFrame:
         return cls(frame.df.withColumn(name, item(F.col(KEY))), n)
 
     @classmethod
-    def from_table(cls, df: DataFrame, key: str, length: int | None = None) -> IndexedFrame:
-        """Rows of a table whose ``key`` is dense and unique from 0; the count comes from the files' footers if not given."""
+    def from_table(cls, df: DataFrame, key: str, length: int | None = None, check: bool = True) -> IndexedFrame:
+        """Rows of a table whose ``key`` is dense and unique from 0. That's checked, exactly, and a gap or a repeat refused, unless the caller vouches for
+        it with ``length`` or ``check=False``; the count then comes from the files' footers if it isn't given."""
+        if length is None and check:
+            dense, length = is_dense(df, key)
+            if not dense:
+                raise InvalidParameter(f"{key} isn't a dense key from 0; from_ordered numbers rows")
         n = df.count() if length is None else length
         return cls(df.withColumn(key, F.col(key).cast("long")).withColumnRenamed(key, KEY), n)
 
+    @classmethod
+    def from_ordered(cls, df: DataFrame, order: list[str | Column], ties: bool = True) -> IndexedFrame:
+        """Rows of any table, numbered in ``order``; ``ties``: equal ones by their other columns. The length comes with the numbering."""
+        made = numbered(df, order, KEY, ties=ties)
+        return cls(made.select(KEY, *(f"`{c}`" for c in made.columns if c != KEY)), made.count())
+
     # adaptors
 
-    def _with(self, df: DataFrame) -> IndexedFrame:
-        return IndexedFrame(df, self.length, self.start, self.schedule)
+    def _with(self, df: DataFrame, whole: bool = True) -> IndexedFrame:
+        return IndexedFrame(df, self.length, self.start, self.schedule, self.whole and whole)
 
     def map(self, **columns: Column) -> IndexedFrame:
         """The key and the columns given, in place of the payload."""
@@ -73,7 +85,7 @@ class IndexedFrame:
 
     def filter(self, predicate: Column) -> IndexedFrame:
         """Rows for which the predicate is true (null counts as false). Keys stay, length stays."""
-        return self._with(self.df.filter(predicate))
+        return self._with(self.df.filter(predicate), whole=False)
 
     def map_python(self, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> IndexedFrame:
         """An opaque function from batches to batches, for what expressions can't say; the schema has the key."""
@@ -94,12 +106,15 @@ class IndexedFrame:
         return self._with(self.with_prong(shards).map_python(lambda rows: pd.DataFrame({KEY: rows[KEY], "value": told(rows)}), f"{KEY} long, value {kind}").df)
 
     def filter_python(self, predicate: Callable[[pd.DataFrame], pd.Series]) -> IndexedFrame:
-        return self.map_python(lambda frame: frame[predicate(frame).astype(bool)], self.df.schema)
+        made = self.map_python(lambda frame: frame[predicate(frame).astype(bool)], self.df.schema)
+        return made._with(made.df, whole=False)
 
     def zip(self, other: IndexedFrame, names: tuple[str, str] = ("left", "right"), columns: tuple[str, str] = ("value", "value")) -> IndexedFrame:
-        """Pairs of equal index; lengths must be equal."""
-        if self.length != other.length:
+        """Pairs of equal index; lengths must be equal, and neither side filtered, as an index that one side lacks would take the other's item with it."""
+        if self.length != other.length or self.start != other.start:
             raise LengthMismatch("only frames of one length can be zipped")
+        if not (self.whole and other.whole):
+            raise LengthMismatch("a filtered frame has gaps; zip first, or number it anew by from_ordered")
         left = self.df.select(KEY, F.col(columns[0]).alias(names[0]))
         right = other.df.select(KEY, F.col(columns[1]).alias(names[1]))
         return self._with(left.join(right, KEY))
@@ -109,7 +124,11 @@ class IndexedFrame:
         return self._with(self.df.withColumn(KEY, F.lit(2 * self.start + self.length - 1) - F.col(KEY)))
 
     def with_schedule(self, schedule: Schedule) -> IndexedFrame:
-        return IndexedFrame(self.df, self.length, self.start, schedule)
+        return IndexedFrame(self.df, self.length, self.start, schedule, self.whole)
+
+    def place(self) -> IndexedFrame:
+        """The frame with its rows dealt as the schedule says, for opaque functions to find them so."""
+        return self._with(self.placed())
 
     # context
 
