@@ -25,6 +25,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,16 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import slices, stored, text_rows
+from .pieces import Pieces
 
 #: Tokens of a block of events at most.
 BLOCK = 4096
 #: Pairs that are looked up in a broadcast table at most.
 FREQUENT = 1 << 20
 #: Distinct words that a worker keeps the ids of.
-KEPT = 300_000
-#: Links that are written out at once.
-LINKS = 4_000_000
+KEPT = 400_000
+#: Links that are written out at once, bytes of text that are encoded at once, and bytes of blocks that are swept at once.
+LINKS, TEXTS, BLOCKS = 1_000_000, 4_000_000, 400_000
 
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _CHAR_BYTES = {chr(b): b for b in _PRINTABLE} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -59,12 +61,21 @@ class ByteLevel:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.lib.encode_special_tokens = True
+        self.pieces = Pieces(path, blanks=True)
+        self.pieces.lib = self.lib
         special = {k: t.content for k, t in self.lib.get_added_tokens_decoder().items()}
         entry = lambda k: special[k].encode() if k in special else bytes(_CHAR_BYTES[c] for c in self.lib.id_to_token(k))
         self.bytes = [entry(k) for k in range(self.lib.get_vocab_size())]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def whole(self, text: str) -> list[int]:
+        return self.lib.encode(" " + text, add_special_tokens=False).ids
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has with the blank or the line end before it, and all ids."""
+        own = self.pieces
+        own.index, own.sizes, own.ids = {}, [], []  # letter runs stay
+        own._learn(words)
+        return own.sizes[0], own.ids[0]
 
 
 class Sentence:
@@ -72,6 +83,7 @@ class Sentence:
 
     def __init__(self, path: str):
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.blank = self.lib.piece_to_id("▁")
 
         def entry(k: int) -> bytes:
             piece = self.lib.id_to_piece(k)
@@ -79,8 +91,15 @@ class Sentence:
 
         self.bytes = [entry(k) for k in range(self.lib.vocab_size())]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.lib.encode(texts, num_threads=1)
+    def whole(self, text: str) -> list[int]:
+        return self.lib.encode(text)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``ByteLevel.words``. No piece has a line end, so what follows one is as after the added blank, which goes."""
+        got = self.lib.encode(words, num_threads=1)
+        got = [g[1:] if w[:1] == "\n" and g[0] == self.blank else g for w, g in zip(words, got, strict=True)]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        return count, np.fromiter(chain.from_iterable(got), np.int64, int(count.sum()))
 
 
 class Side:
@@ -99,18 +118,22 @@ class Side:
         self.first, self.count, self.odd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def _learn(self, words: list[str]) -> None:
-        got = self.lib.encode(words)
-        count = np.fromiter(map(len, got), np.int64, len(got))
+        if not words:
+            return
+        count, ids = self.lib.words(words)
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.fromiter((k for g in got for k in g), self.kind, int(count.sum()))])
-        # a blank next to white space or to an end of the text may belong to a longer piece
-        self.odd = np.concatenate([self.odd, np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))])
+        self.ids = np.concatenate([self.ids, ids.astype(self.kind)])
+        # a blank or line end next to white space or to an end of the text may belong to a longer piece
+        bare = pc.utf8_slice_codeunits(pa.array(words), 0, 1)
+        rest = pc.if_else(pc.equal(bare, "\n"), pc.utf8_slice_codeunits(pa.array(words), 1), pa.array(words))
+        odd = pc.or_(pc.equal(rest, ""), pc.not_equal(pc.utf8_trim_whitespace(rest), rest))
+        self.odd = np.concatenate([self.odd, np.asarray(odd)])
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and all ids one after another. ``texts`` has no nulls; empty ones have no ids."""
-        split = pc.split_pattern(texts, " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
@@ -120,9 +143,10 @@ class Side:
             new = distinct
         self._learn(new)
         own = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[np.asarray(words.indices)]
-        odd = np.logical_or.reduceat(self.odd[own], bounds[:-1]) if len(texts) else np.empty(0, bool)
-        ends = np.concatenate([[0], np.cumsum(self.count[own])])
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[own] - ends[:-1], self.count[own])]
+        odd = np.logical_or.reduceat(self.odd[own], bounds[:-1]) | np.asarray(pc.starts_with(texts, "\n")) if len(texts) else np.empty(0, bool)
+        count = self.count[own]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[own] - ends[:-1], count)]
         at, n = ends[bounds], ends[bounds[1:]] - ends[bounds[:-1]]
         if not odd.any():
             return n, ids
@@ -130,7 +154,7 @@ class Side:
         for k, strange in enumerate(odd.tolist()):
             if strange:
                 text = texts[k].as_py()
-                part = np.array(self.lib.encode([text])[0] if text else [], self.kind)
+                part = np.array(self.lib.whole(text) if text else [], self.kind)
                 n[k] = len(part)
             else:
                 part = ids[at[k] : at[k + 1]]
@@ -159,7 +183,7 @@ def end_events(docs: DataFrame, side: int, kind: type, path: str) -> DataFrame:
 
     def events(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, zip_ = _side(kind, path), zstandard.ZstdCompressor(1)
-        for batch in slices(stream):
+        for batch in slices(stream, most=TEXTS):
             texts = batch.column("text")
             n, ids = own.encode(texts)
             joined, at = _flat(own.table.take(pa.array(ids)))
@@ -278,7 +302,7 @@ def _sweep(sides: tuple[tuple[type, str], tuple[type, str]]):
             kinds = [pa.int64()] * 8 + [pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _ALIGNED_NAMES)
 
-        for batch in stream:
+        for batch in slices(stream, "ids", BLOCKS):
             k1, k2, side, start = (np.asarray(batch.column(c)) for c in ("k1", "k2", "side", "start"))
             doc_id, copies = batch.column("doc_id"), batch.column("copies")
             goes_on = now is not None and now.row[:2] == (k1[0], k2[0])
