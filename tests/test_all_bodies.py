@@ -21,3 +21,18 @@ def test_k_steps_move_every_part(spark):
     got = catalogue.QUERIES["nbody_k_steps"](spark, DATA).toPandas().sort_values("id")
     assert got["id"].tolist() == i.tolist()
     assert np.allclose(got[["x", "y", "z", "vx", "vy", "vz"]].to_numpy(), np.hstack([x, v]), atol=2e-8)
+
+
+def test_tasks_follow_the_pairs(spark, monkeypatch):
+    """One file of bodies becomes as many tasks as its pairs ask for, whatever partitions the rows come in."""
+    from pyspark.sql import functions as F
+
+    from stridemill.operators import nbody, pairs
+
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 1000)
+    bodies = spark.range(0, 100, 1, 1).select("id", *(F.rand(7).alias(a) for a in nbody.AXES), F.lit(1e6).alias("m"))
+    assert pairs.spread(bodies, 100, "id").rdd.getNumPartitions() == 10
+    assert pairs.spread(bodies, 5, "id").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 1)
+    assert pairs.spread(bodies, 100, "id").rdd.getNumPartitions() == 100  # no more tasks than rows
+    assert nbody.forces(bodies).count() == 100
