@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -30,26 +32,125 @@ def session(name: str = "stridemill", cores: int | str = "*", config: dict[str,
 
 
 def terminate(spark: SparkSession) -> None:
-    """End the session; what runs is cancelled, and a second call does nothing."""
+    """End the session; what runs is cancelled, intermediates are deleted, and a second call does nothing."""
     if not spark.sparkContext._jsc or spark.sparkContext._jsc.sc().isStopped():
         return
     spark.sparkContext.cancelAllJobs()
+    discard(spark)
     spark.stop()
 
 
+class Files:
+    """A few file operations through Spark's own file systems, so that any store it reads will do."""
+
+    def __init__(self, spark: SparkSession, place: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, place: str) -> list[str]:
+        """Names in a folder; none where there's no folder."""
+        path = self._path(place)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def delete(self, place: str) -> None:
+        self._fs.delete(self._path(place), True)
+
+    def read(self, place: str) -> str:
+        stream = self._fs.open(self._path(place))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, place: str, text: str) -> None:
+        """A file that is there whole or not at all: written under another name, then renamed."""
+        path, other = self._path(place), self._path(f"{place}.{uuid.uuid4().hex}")
+        stream = self._fs.create(other, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self._fs.delete(path, False)
+        if not self._fs.rename(other, path):
+            raise OSError(f"{place} can't be written")
+
+
+def files_of(spark: SparkSession, place: str) -> Files:
+    return Files(spark, place)
+
+
+class _Folders:
+    """Every folder of intermediates that this process has made and not deleted, by whatever thread."""
+
+    def __init__(self):
+        self._lock, self._places = threading.Lock(), []
+
+    def add(self, place: str) -> str:
+        with self._lock:
+            self._places.append(place)
+        return place
+
+    def taken(self, places: Iterable[str] | None, keep: Iterable[str]) -> list[str]:
+        """Those of ``places`` (None: all) that aren't kept, which are no longer listed."""
+        with self._lock:
+            wanted = set(self._places if places is None else places) - set(keep)
+            gone, self._places = [p for p in self._places if p in wanted], [p for p in self._places if p not in wanted]
+        return gone
+
+    def listed(self) -> list[str]:
+        with self._lock:
+            return list(self._places)
+
+
+_folders = _Folders()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``, which driver and executors share; where that's unset and all runs in one process (tests), in a new folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.sparkContext.master.startswith("local["):
             raise UnsupportedPlatform("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = tempfile.mkdtemp(prefix="stridemill-")
+        place = _folders.add(tempfile.mkdtemp(prefix="stridemill-"))
         spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return _folders.add(f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+def intermediates() -> list[str]:
+    """The folders of intermediates that there are."""
+    return _folders.listed()
+
+
+def discard(spark: SparkSession, places: Iterable[str] | None = None, keep: Iterable[str] = ()) -> None:
+    """Delete intermediates (None: all of them) once what was read from them is stored elsewhere."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    for place in _folders.taken(places, keep):
+        files_of(spark, place).delete(place)
+        if place == root:
+            spark.conf.unset("spark.checkpoint.dir")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates that are made within, by this thread or others, are deleted at its end, however it ends."""
+    before = set(_folders.listed())
+    try:
+        yield
+    finally:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        discard(spark, set(_folders.listed()) - before - {root})
+
+
+def stored_as(spark: SparkSession, make: Callable[[], DataFrame], place: str, mode: str = "errorifexists") -> DataFrame:
+    """What ``make`` returns, written to ``place`` as Parquet and read from there; all intermediates on the way are gone then."""
+    with scratch(spark):
+        made = make()
+        schema = made.schema
+        made.write.mode(mode).parquet(place)
+    return spark.read.schema(schema).parquet(place)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there and survives lost executors."""
+    """``df`` written to the shared folder and read again: lineage ends there and survives lost executors. It's deleted by ``discard``, at the end of
+    a ``scratch`` or ``stored_as`` around it, or with the session."""
     place = shared_folder(df.sparkSession, name)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
