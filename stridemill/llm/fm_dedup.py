@@ -4,7 +4,8 @@ A word goes if ``window`` consecutive words that cover it also start in a docume
 
 1. Each window is assigned the smallest hash of its ``GRAM``-word strings (its key), so equal windows agree wherever they stand. Consecutive
    windows with the key at one place are a run. Runs of equal words under one key are settled where they meet: all but those
-   of the smallest id go. Each batch first settles its own, so a passage that very many documents share is sent once a batch.
+   of the smallest id go. Each batch first settles its own, so a passage that very many documents share is sent once a batch. Of equal runs in
+   one text the first stands for all; at the end, windows of a text that are equal share their fate.
 2. Of keys under which several different runs are left, each distinct run is a passage. Passages are dealt into shards by key, so that
    windows that may be equal are in one shard. A shard has about ``SHARD`` words at most, whatever the data; there are as many as that
    takes, and one for each shuffle partition at least.
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_rows
+from .common import lean, slices, stored, text_rows
 from .suffix_dedup import merged, mixed
 
 GRAM = 16
@@ -43,8 +44,10 @@ SHARD = 1_000_000
 MOST, FEW = 400_000, 10_000
 #: Window starts handled at once; positions then fit into 20 bits.
 CHUNK = 1_000_000
+#: Bytes of texts that are handled at once; rows of one id that are held back, as it isn't known yet whether others follow.
+TEXTS, HELD = 4_000_000, 100_000
 #: Words that a worker keeps the hashes of, and bytes that are split into words at once.
-KEPT, LONG = 1_000_000, 16_000_000
+KEPT, LONG = 300_000, 16_000_000
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so no power of it loses bits
 
@@ -58,6 +61,10 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """The hash of each word of a text."""
     if len(_known) > KEPT:
@@ -122,9 +129,9 @@ def _dealt(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return mixed((doc * 1_000_003 + lo).view(np.uint64))
 
 
-def _gone(doc, dig, owner, lo, n, window: int) -> Iterator[pa.RecordBatch]:
-    """Merged intervals of runs that go; ``owner`` numbers their documents."""
-    of, a, b = merged(owner, lo, lo + n - 1 + window)
+def _gone(doc, dig, owner, lo, n) -> Iterator[pa.RecordBatch]:
+    """Merged intervals of windows that go; ``owner`` numbers their documents."""
+    of, a, b = merged(owner, lo, lo + n)
     first = np.zeros(int(owner.max()) + 1 if len(owner) else 0, np.int64)
     first[owner] = np.arange(len(owner))
     d, g, zero = doc[first[of]], dig[first[of]], np.zeros(len(of), np.int64)
@@ -152,7 +159,7 @@ def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _run_batches(window: int):
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(stream):
+        for batch in slices(stream, most=TEXTS):
             ids, digs = (np.asarray(batch.column(c)).astype(np.int64) for c in ("doc_id", "dig"))
             words, bounds = _words_of(batch)
             parts = list(runs(words, bounds, window))
@@ -163,11 +170,11 @@ def _run_batches(window: int):
             order = np.lexsort((lo, text, digs[text], ids[text], b2, b1, key))
             text, lo, n, key, b1, b2 = (x[order] for x in (text, lo, n, key, b1, b2))
             doc, dig = ids[text], digs[text]
-            once = _changes(key, b1, b2, doc, dig, lo)  # rows that share id and text are one
+            once = _changes(key, b1, b2, doc, dig)  # the first in its text; rows that share id and text are one
             text, lo, n, key, b1, b2, doc, dig = (x[once] for x in (text, lo, n, key, b1, b2, doc, dig))
             first = np.maximum.accumulate(np.where(_changes(key, b1, b2), np.arange(len(key)), 0))
             gone = doc > doc[first]
-            yield from _gone(doc[gone], dig[gone], text[gone], lo[gone], n[gone], window)
+            yield from _gone(doc[gone], dig[gone], text[gone], lo[gone], n[gone])
             key, b1, b2, doc, dig, lo, n = (x[~gone] for x in (key, b1, b2, doc, dig, lo, n))
             starts = np.flatnonzero(_changes(key))
             size = np.diff(np.append(starts, len(key)))
@@ -184,73 +191,70 @@ def _run_batches(window: int):
     return batches
 
 
-_SETTLED_NAMES = ["kind", "key", "b1", "b2", "doc", "dig", "lo", "n", "again"]
-_SETTLED = "kind int, key long, b1 long, b2 long, doc long, dig long, lo long, n long, again boolean"
+_SETTLED_NAMES = ["kind", "key", "b1", "b2", "doc", "dig", "lo", "n"]
+_SETTLED = "kind int, key long, b1 long, b2 long, doc long, dig long, lo long, n long"
 
 
-def _settle(window: int):
-    """From rows sorted by (key, b1, b2, doc, dig, lo): intervals that go, and the runs of keys that have different runs in different
-    documents. ``again``: the same words stand in an earlier place of the same id."""
+def _settle(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (key, b1, b2, doc, dig): intervals that go, and the runs of keys that have different runs in different documents."""
+    last: tuple | None = None  # (key, b1, b2, doc, dig) of the last row
+    body_doc, low, high, marked = 0, 0, 0, False  # the body's first id; ids of the last key's runs that stay
+    waiting: list[list[np.ndarray]] = []  # the last key's runs, while they are all of one id
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # (key, b1, b2, doc, dig, lo) of the last row
-        body_doc, low, high, marked = 0, 0, 0, False  # the body's first id; ids of the last key's runs that stay
-        waiting: list[list[np.ndarray]] = []  # the last key's runs, while they are all of one id
-
-        def out(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            yield from _emit([np.full(len(cols[0]), kind, np.int32), *cols], _SETTLED_NAMES)
-
-        for batch in stream:
-            kind = np.asarray(batch.column("kind"))
-            cols = [np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "b1", "b2", "doc", "dig", "lo", "n")]
-            done = kind == GONE
-            if done.any():
-                own = [c[done] for c in cols]
-                yield from out(GONE, [*own, np.zeros(len(own[0]), bool)])
-                kind, cols = kind[~done], [c[~done] for c in cols]
-            if not len(kind):
-                continue
-            new_row = _changes(*cols[:6])
-            new_row[0] = last is None or last != tuple(int(c[0]) for c in cols[:6])
-            new_row |= kind == MARK
-            goes_on = last is not None and last[0] == cols[0][0]
-            same_body = last is not None and last[:3] == tuple(int(c[0]) for c in cols[:3]) and kind[0] != MARK
-            new_body = _changes(*cols[:3])
-            at = np.maximum.accumulate(np.where(new_body, np.arange(len(kind)), 0))
-            doc, key = cols[3], cols[0]
-            least = doc[at]
-            if same_body:
-                least[at == 0] = body_doc
-                new_body[0] = False
-            gone = (kind != MARK) & (doc > least) & new_row
-            own = [c[gone] for c in cols]
-            if gone.any():
-                yield from out(GONE, [*own[:6], own[6] - 1 + window, np.zeros(len(own[0]), bool)])
-            stay = (kind != MARK) & (doc <= least) & new_row
-            starts = np.flatnonzero(_changes(key))
-            least_of = np.minimum.reduceat(np.where(stay, doc, np.iinfo(np.int64).max), starts)
-            most_of = np.maximum.reduceat(np.where(stay, doc, np.iinfo(np.int64).min), starts)
-            known = np.logical_or.reduceat((kind == MARK) | (kind == BORDER), starts)
-            if goes_on:
-                least_of[0], most_of[0], known[0] = min(low, least_of[0]), max(high, most_of[0]), marked or known[0]
-            need = known | (least_of < most_of)
-            if waiting and (need[0] or not goes_on):
-                if goes_on:
-                    for held in waiting:
-                        yield from out(RUN, held)
-                waiting = []
-            group = np.cumsum(_changes(key)) - 1
-            again = ~new_body
-            emit = stay & need[group]
-            if emit.any():
-                yield from out(RUN, [*(c[emit] for c in cols), again[emit]])
-            if not need[-1]:
-                rest = stay & (group == group[-1])
-                waiting.append([*(c[rest] for c in cols), again[rest]])
-            last, body_doc = tuple(int(c[-1]) for c in cols[:6]), int(least[-1])
-            low, high, marked = int(least_of[-1]), int(most_of[-1]), bool(known[-1])
+    def out(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield from _emit([np.full(len(cols[0]), kind, np.int32), *cols], _SETTLED_NAMES)
 
-    return batches
+    for batch in stream:
+        kind = np.asarray(batch.column("kind"))
+        cols = [np.asarray(batch.column(c)).astype(np.int64) for c in _SETTLED_NAMES[1:]]
+        done = kind == GONE
+        if done.any():
+            yield from out(GONE, [c[done] for c in cols])
+            kind, cols = kind[~done], [c[~done] for c in cols]
+        if not len(kind):
+            continue
+        key, doc, head = cols[0], cols[3], tuple(int(c[0]) for c in cols[:5])
+        new_row = _changes(*cols[:5])
+        new_row[0] = last != head
+        new_row |= kind == MARK
+        new_body = _changes(*cols[:3])
+        at = np.maximum.accumulate(np.where(new_body, np.arange(len(kind)), 0))
+        least = doc[at]
+        if last is not None and last[:3] == head[:3] and kind[0] != MARK:
+            least[at == 0] = body_doc
+        gone = (kind != MARK) & (doc > least) & new_row
+        if gone.any():
+            yield from out(GONE, [c[gone] for c in cols])
+        stay = (kind != MARK) & (doc <= least) & new_row
+        group = np.cumsum(_changes(key)) - 1
+        starts = np.flatnonzero(_changes(key))
+        least_of = np.minimum.reduceat(np.where(stay, doc, np.iinfo(np.int64).max), starts)
+        most_of = np.maximum.reduceat(np.where(stay, doc, np.iinfo(np.int64).min), starts)
+        known = np.logical_or.reduceat((kind == MARK) | (kind == BORDER), starts)
+        goes_on = last is not None and last[0] == key[0]
+        if goes_on:
+            least_of[0], most_of[0], known[0] = min(low, least_of[0]), max(high, most_of[0]), marked or known[0]
+        known |= least_of < most_of
+        if not goes_on:
+            waiting = []
+        elif known[0]:
+            for held in waiting:
+                yield from out(RUN, held)
+            waiting = []
+        emit = stay & known[group]
+        if emit.any():
+            yield from out(RUN, [c[emit] for c in cols])
+        if not known[-1]:
+            rest = stay & (group == group[-1])
+            waiting = [*(waiting if goes_on and group[-1] == 0 else []), [c[rest] for c in cols]]
+            if sum(len(w[0]) for w in waiting) > HELD:  # very many rows of one id: let the index see them
+                for held in waiting:
+                    yield from out(RUN, held)
+                waiting, known[-1] = [], True
+        elif group[-1] > 0:
+            waiting = []
+        last, body_doc = tuple(int(c[-1]) for c in cols[:5]), int(least[-1])
+        low, high, marked = int(least_of[-1]), int(most_of[-1]), bool(known[-1])
 
 
 _PASSAGE = "shard long, key long, b1 long, b2 long, doc long, dig long, lo long, n long, words binary"
@@ -262,7 +266,7 @@ def _passages(window: int, shards: int):
     """The words of each run in a text's list."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(stream):
+        for batch in slices(stream, most=TEXTS):
             words, bounds = _words_of(batch)
             own = batch.column("runs")
             text = np.repeat(np.arange(len(batch)), np.asarray(own.value_lengths()))
@@ -397,12 +401,12 @@ class FMIndex:
 
 
 def _search(window: int):
-    """A shard's intervals that go. Rows without words are further places of a passage."""
+    """A shard's intervals of windows that go."""
 
     def shard(table: pa.Table) -> pa.Table:
         key, b1, b2, doc, dig, lo, n = (np.asarray(table.column(c)) for c in ("key", "b1", "b2", "doc", "dig", "lo", "n"))
-        words = [None if w is None else np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
-        body = np.flatnonzero([w is not None for w in words])
+        words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        body = np.arange(len(words))
         order = np.lexsort((doc[body], b2[body], b1[body], key[body]))
         body = body[order]
         body = body[_changes(key[body], b1[body], b2[body])]  # the smallest document of each distinct passage
@@ -414,7 +418,7 @@ def _search(window: int):
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         gone = first[(ends - n[body])[of][row] + within] < doc[row]
-        owner, a, b = merged(row[gone], lo[row[gone]] + within[gone], lo[row[gone]] + within[gone] + window)
+        owner, a, b = merged(row[gone], lo[row[gone]] + within[gone], lo[row[gone]] + within[gone] + 1)
         return pa.table({"doc": doc[owner], "dig": dig[owner], "lo": a, "hi": b})
 
     return shard
@@ -436,7 +440,7 @@ def _single_windows(window: int, most: int = 50_000):
         first = np.maximum.accumulate(np.where(_changes(b1, b2), np.arange(len(b1)), 0))
         gone = doc > doc[first]
         owner = np.unique(np.column_stack([doc[gone], dig[gone]]), axis=0, return_inverse=True)[1].ravel()
-        of, a, b = merged(owner, lo[gone], lo[gone] + window)
+        of, a, b = merged(owner, lo[gone], lo[gone] + 1)
         at = np.zeros(int(owner.max()) + 1 if len(owner) else 0, np.int64)
         at[owner] = np.flatnonzero(gone)
         zero = np.zeros(len(of), np.int64)
@@ -445,7 +449,7 @@ def _single_windows(window: int, most: int = 50_000):
         yield from _emit([b1.view(np.int64), b2.view(np.int64), doc, dig, lo, np.zeros(len(lo), np.int64)], _SINGLE_NAMES)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(stream):
+        for batch in slices(stream, most=TEXTS):
             words, bounds = _words_of(batch)
             own = batch.column("runs")
             text = np.repeat(np.arange(len(batch)), np.asarray(own.value_lengths()))
@@ -461,96 +465,100 @@ def _single_windows(window: int, most: int = 50_000):
     return batches
 
 
-def _settle_windows(window: int):
-    """From rows sorted by (b1, b2, doc): the intervals that go."""
-
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, least = None, 0
-        for batch in stream:
-            b1, b2, doc, dig, lo, n = (np.asarray(batch.column(c)) for c in _SINGLE_NAMES)
-            yield from _emit([doc[n > 0], dig[n > 0], lo[n > 0], (lo + n)[n > 0]], ["doc", "dig", "lo", "hi"])
-            b1, b2, doc, dig, lo = (x[n == 0] for x in (b1, b2, doc, dig, lo))
-            if not len(b1):
-                continue
-            at = np.maximum.accumulate(np.where(_changes(b1, b2), np.arange(len(b1)), 0))
-            first = doc[at]
-            if last == (b1[0], b2[0]):
-                first[at == 0] = least
-            gone = doc > first
-            last, least = (b1[-1], b2[-1]), int(first[-1])
-            yield from _emit([doc[gone], dig[gone], lo[gone], lo[gone] + window], ["doc", "dig", "lo", "hi"])
-
-    return batches
+def _settle_windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (b1, b2, doc): the intervals of windows that go."""
+    last, least = None, 0
+    for batch in stream:
+        b1, b2, doc, dig, lo, n = (np.asarray(batch.column(c)) for c in _SINGLE_NAMES)
+        yield from _emit([doc[n > 0], dig[n > 0], lo[n > 0], (lo + n)[n > 0]], ["doc", "dig", "lo", "hi"])
+        b1, b2, doc, dig, lo = (x[n == 0] for x in (b1, b2, doc, dig, lo))
+        if not len(b1):
+            continue
+        at = np.maximum.accumulate(np.where(_changes(b1, b2), np.arange(len(b1)), 0))
+        first = doc[at]
+        if last == (b1[0], b2[0]):
+            first[at == 0] = least
+        gone = doc > first
+        last, least = (b1[-1], b2[-1]), int(first[-1])
+        yield from _emit([doc[gone], dig[gone], lo[gone], lo[gone] + 1], ["doc", "dig", "lo", "hi"])
 
 
 def removed_intervals(rows: DataFrame, window: int, shard: int = SHARD, most: int | None = None) -> DataFrame:
-    """(doc, dig, lo, hi): words lo to hi that go, of rows (doc_id, dig, text) without null ids."""
+    """(doc, dig, lo, hi): windows lo to hi that go, of rows (doc_id, dig, text) without null ids; of equal windows in one text at least one."""
     settled = stored(
-        rows.mapInArrow(_run_batches(window), _RUN_SCHEMA)
+        rows.mapInArrow(lean(_run_batches(window), _forget), _RUN_SCHEMA)
         .repartition("deal")
-        .sortWithinPartitions("key", "b1", "b2", "doc", "dig", "lo")
+        .sortWithinPartitions("key", "b1", "b2", "doc", "dig")
         .drop("deal")
-        .mapInArrow(_settle(window), _SETTLED),
+        .mapInArrow(lean(_settle), _SETTLED),
         "settled",
     )
     gone = settled.filter(F.col("kind") == GONE).select("doc", "dig", "lo", (F.col("lo") + F.col("n")).alias("hi"))
     left = settled.filter(F.col("kind") == RUN)
-    keys = left.groupBy("key").agg(F.sum(F.when(~F.col("again"), F.col("n") + window).otherwise(0)).alias("words"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("more"))
+    keys = left.groupBy("key").agg(F.sum(F.col("n") + window).alias("words"))
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if most is None:
-        most = min(MOST, max(FEW, (left.filter(~F.col("again")).agg(F.sum(F.col("n") + window)).first()[0] or 0) // (2 * partitions)))
-    crowd = stored(keys.filter((F.col("words") > most) | (F.col("more") > 4 * most)).select("key", F.lit(True).alias("crowded")), "crowded")
+        most = min(MOST, max(FEW, (left.agg(F.sum(F.col("n") + window)).first()[0] or 0) // (2 * partitions)))
+    crowd = stored(keys.filter(F.col("words") > most).select("key", F.lit(True).alias("crowded")), "crowded")
     if crowd.isEmpty():
         plain, crowded = left, None
     else:
         flagged = left.join(crowd, "key", "left")
         plain, crowded = flagged.filter("crowded IS NULL").drop("crowded"), flagged.filter("crowded")
-    total = plain.filter(~F.col("again")).agg(F.sum(F.col("n") + window)).first()[0] or 0
+    total = plain.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = max(partitions, -(-total // shard))
     lists = lambda df: df.groupBy(F.col("doc").alias("of"), F.col("dig").alias("of_dig")).agg(F.collect_list(F.struct("key", "b1", "b2", "lo", "n")).alias("runs"))
     texts = lambda df: rows.join(lists(df).hint("shuffle_hash"), (F.col("doc_id") == F.col("of")) & (F.col("dig") == F.col("of_dig"))).select("doc_id", "dig", "text", "runs")
     found = [gone]
     if total:
-        bodies = texts(plain.filter(~F.col("again"))).mapInArrow(_passages(window, shards), _PASSAGE)
-        told = plain.filter("again").select(F.col("key").alias("k"), "key", "b1", "b2", "doc", "dig", "lo", "n", F.lit(None).cast("binary").alias("words"))
-        further = told.mapInArrow(_in_shards(shards), _PASSAGE)
-        found.append(stored(bodies.unionByName(further).groupBy("shard").applyInArrow(_search(window), _INTERVALS), "found"))
+        bodies = texts(plain).mapInArrow(lean(_passages(window, shards), _forget), _PASSAGE)
+        found.append(stored(bodies.groupBy("shard").applyInArrow(_search(window), _INTERVALS), "found"))
     if crowded is not None:
-        single = texts(crowded).mapInArrow(_single_windows(window), _SINGLE)
-        found.append(stored(single.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "doc").mapInArrow(_settle_windows(window), _INTERVALS), "windows"))
+        single = texts(crowded).mapInArrow(lean(_single_windows(window), _forget), _SINGLE)
+        found.append(stored(single.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "doc").mapInArrow(lean(_settle_windows), _INTERVALS), "windows"))
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
     return out
 
 
-def _in_shards(shards: int):
-    """Rows without words in the shard of their key."""
-
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            shard = (mixed(np.asarray(batch.column("k")).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch.column(c) for c in _PASSAGE_NAMES[1:])], _PASSAGE_NAMES)
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
-    return batches
 
+def _spread(hashes: np.ndarray, gone: np.ndarray, window: int) -> None:
+    """Mark windows that equal one that goes."""
+    other, a, b = mixed(hashes), np.zeros(len(gone), np.uint64), np.zeros(len(gone), np.uint64)
+    for k in range(window):
+        a = a * _BASE + hashes[k : k + len(a)]
+        b = b * _BASE + other[k : k + len(b)]
+    order = np.lexsort((b, a))
+    group = np.cumsum(_changes(a[order], b[order])) - 1
+    any_gone = np.zeros(int(group[-1]) + 1, bool)
+    any_gone[group[gone[order]]] = True
+    gone[order] = any_gone[group]
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
+def _apply(window: int):
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(stream, most=TEXTS):
+            spans, out = batch.column("spans").to_pylist(), []
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), spans, strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                words = kept = raw.split()
+                if own:
+                    gone = np.zeros(len(words) - window + 1, bool)
+                    for s in own:
+                        gone[s["lo"] : s["hi"]] = True
+                    if not gone.all():
+                        _spread(word_hashes(raw), gone, window)
+                    at = np.flatnonzero(gone)
+                    _, a, b = merged(np.zeros(len(at), np.int64), at, at + window)
+                    kept = [w for x, y in zip([0, *b.tolist()], [*a.tolist(), len(words)], strict=True) for w in words[x:y]]
+                out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-def _apply(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(stream):
-        spans, out = batch.column("spans").to_pylist(), []
-        for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), spans, strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
-            kept = words
-            if own:
-                lo, hi = (np.array([s[c] for s in own]) for c in ("lo", "hi"))
-                _, a, b = merged(np.zeros(len(lo), np.int64), lo, hi)
-                kept = [w for x, y in zip([0, *b.tolist()], [*a.tolist(), len(words)], strict=True) for w in words[x:y]]
-            out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    return batches
 
 
 def deduplicate(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, most: int | None = None) -> DataFrame:
@@ -559,4 +567,4 @@ def deduplicate(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     spans = removed_intervals(rows.filter("doc_id IS NOT NULL"), window, shard, most)
     lists = spans.groupBy(F.col("doc").alias("of"), F.col("dig").alias("of_dig")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     out = rows.join(lists.hint("shuffle_hash"), (F.col("doc_id") == F.col("of")) & (F.col("dig") == F.col("of_dig")), "left")
-    return out.select("doc_id", "text", "spans").mapInArrow(_apply, RESULT)
+    return out.select("doc_id", "text", "spans").mapInArrow(lean(_apply(window), _forget), RESULT)
