@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from stridemill.plans import catalogue, ordered  # noqa: F401 - adds its queries to the catalogue
+from stridemill.plans import catalogue, folded, ordered  # noqa: F401 - they add their queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
