@@ -490,17 +490,16 @@ def deferred_for_slices(spark, sf_dir):
         return slices.join()
 
 
-def _visited(spark, visit) -> DataFrame:
-    """What accumulators have seen of a visit with effects."""
+def _visited(spark, frame: IndexedFrame) -> DataFrame:
+    """What accumulators have seen of a visit with effects, batch by batch."""
     seen, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
 
     def effect(rows):
-        for row in rows:
-            seen.add(1)
-            total.add(row[KEY])
+        seen.add(len(rows))
+        total.add(int(rows[KEY].sum()))
 
-    visit(effect)
-    return spark.createDataFrame([(seen.value, total.value)], "visits long, total long")
+    visited = frame.for_each_batches(effect)
+    return spark.createDataFrame([(min(seen.value, visited), total.value)], "visits long, total long")
 
 
 _VISITS = "SELECT count(*) AS visits, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders"
@@ -508,17 +507,17 @@ _VISITS = "SELECT count(*) AS visits, CAST(sum(o_orderkey) AS BIGINT) AS total F
 
 @_query(_VISITS)
 def for_each(spark, sf_dir):
-    return _visited(spark, _frame(spark, sf_dir, "orders", "o_orderkey").map().for_each)
+    return _visited(spark, _frame(spark, sf_dir, "orders", "o_orderkey").map())
 
 
 @_query(_VISITS)
 def for_each_static(spark, sf_dir):
-    return _visited(spark, _frame(spark, sf_dir, "orders", "o_orderkey").map().for_each_static)
+    return _visited(spark, _frame(spark, sf_dir, "orders", "o_orderkey").map().with_schedule(Static(T)))
 
 
 @_query(_VISITS)
 def for_each_dynamic(spark, sf_dir):
-    return _visited(spark, _frame(spark, sf_dir, "orders", "o_orderkey").map().for_each_dynamic)
+    return _visited(spark, _frame(spark, sf_dir, "orders", "o_orderkey").map().with_schedule(Dynamic(T)))
 
 
 def _priced(spark, sf_dir) -> IndexedFrame:
@@ -559,12 +558,12 @@ def update_with_prong_dynamic(spark, sf_dir):
 
 @_query("SELECT p_partkey AS task_index, p_partkey*p_partkey-1 AS value FROM part")
 def map_index_python(spark, sf_dir):
-    return _priced(spark, sf_dir).map_index_python(lambda i: i * i - 1, "long").df
+    return _priced(spark, sf_dir).map_index_batches(lambda i: i * i - 1, "long").df
 
 
 @_query(f"SELECT p_partkey AS task_index, 3*p_partkey+{_own('p_partkey', 'n', T)}*{_own(_own('p_partkey', 'n', T), str(T), C)} AS value FROM part, (SELECT count(*) n FROM part)")
 def map_prong_python(spark, sf_dir):
-    return _priced(spark, sf_dir).map_prong_python(lambda i, thread, shard: 3 * i + thread * shard, "long", C).df
+    return _priced(spark, sf_dir).map_prong_batches(lambda i, thread, shard: 3 * i + thread * shard, "long", C).df
 
 
 @_query("SELECT count(*) AS left_over, (SELECT count(*) FROM events) AS length, count(*) = 0 AS is_empty FROM events WHERE value > 50 AND nullif(event_id%3, 0) = 1")
@@ -680,25 +679,32 @@ def append_halves(spark, sf_dir):
     return halves[0].df.select(F.lit(0).cast("long").alias("half"), "*").unionByName(halves[1].df.select(F.lit(1).cast("long").alias("half"), "*"))
 
 
-@_query("SELECT CAST(1000 AS BIGINT) AS vectors, true AS in_range, true AS centred, true AS repeatable, CAST(1000 AS BIGINT) AS different")
+@_query("SELECT count(*) AS vectors, min(vec_id) AS first, max(vec_id) AS last, count(*) AS different, CAST(sum(len(embedding)) AS BIGINT) AS entries, CAST(sum(len(embedding)) AS BIGINT) AS in_range, true AS centred FROM embeddings")
 def random_embeddings(spark, sf_dir):
-    made = generators.embeddings(spark, 1000, 16)
-    again = generators.embeddings(spark, 1000, 16).select(F.col("vec_id").alias("k"), F.col("embedding").alias("same"))
-    x = lambda f: f(F.flatten(F.collect_list("embedding")))
-    mean = F.aggregate(F.flatten(F.collect_list("embedding")), F.lit(0.0), lambda s, v: s + v) / 16000
-    return made.join(again, F.col("vec_id") == F.col("k")).agg(
-        F.count("*").alias("vectors"), ((x(F.array_min) >= -1) & (x(F.array_max) < 1)).alias("in_range"), (F.abs(mean) < 0.02).alias("centred"),
-        F.every(F.col("embedding") == F.col("same")).alias("repeatable"), F.countDistinct("embedding").alias("different"),
+    """Random vectors, one for each of the table's: of the same lengths, all different, with entries in [-1, 1] around 0."""
+    stored = _table(spark, sf_dir, "embeddings")
+    width = stored.agg(F.max(F.size("embedding"))).first()[0] or 1
+    made = generators.embeddings(spark, stored.count(), width)
+    entries = F.size("embedding").cast("long")
+    inside = F.size(F.filter("embedding", lambda x: (x >= -1) & (x <= 1))).cast("long")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return made.agg(
+        F.count("*").alias("vectors"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.countDistinct(F.xxhash64("embedding")).alias("different"),
+        F.sum(entries).alias("entries"), F.sum(inside).alias("in_range"), (F.abs(F.sum(total) / F.sum(entries)) < 0.05).alias("centred"),
     )
 
 
-@_query("SELECT CAST(1000 AS BIGINT) AS bodies, true AS in_range, true AS masses, CAST(1000 AS BIGINT) AS different")
+@_query("SELECT count(*) AS bodies, min(p_partkey) AS first, max(p_partkey) AS last, count(*) AS in_range, count(*) AS masses, count(*) AS different FROM part")
 def random_bodies(spark, sf_dir):
+    """Random bodies, one for each part."""
     inside = F.lit(True)
     for c in ("x", "y", "z", "vx", "vy", "vz"):
         inside = inside & (F.col(c) >= 0) & (F.col(c) < 1)
-    made = generators.bodies(spark, 1000)
-    return made.agg(F.count("*").alias("bodies"), F.every(inside).alias("in_range"), F.every((F.col("m") >= 1e20) & (F.col("m") < 1e25)).alias("masses"), F.countDistinct("x").alias("different"))
+    made = generators.bodies(spark, _table(spark, sf_dir, "part").count())
+    return made.agg(
+        F.count("*").alias("bodies"), F.min("id").alias("first"), F.max("id").alias("last"), F.count_if(inside).alias("in_range"),
+        F.count_if((F.col("m") >= 1e20) & (F.col("m") < 1e25)).alias("masses"), F.countDistinct("x").alias("different"),
+    )
 
 
 @_query("SELECT true AS cores, true AS nodes, true AS one_shard_per_node, true AS one_quality, true AS memory, true AS capabilities, true AS idle, '" + runtime.__version__ + "' AS version")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,14 +97,23 @@ class IndexedFrame:
 
         return self._with(self.df.mapInPandas(batches, schema))
 
+    def map_index_batches(self, function: Callable[[np.ndarray], Any], kind: str) -> IndexedFrame:
+        """``value`` from an opaque function of the bare indices: a batch of them at once, and as many values back."""
+        return self._with(self.df.select(KEY)).map_python(lambda rows: pd.DataFrame({KEY: rows[KEY], "value": function(rows[KEY].to_numpy())}), f"{KEY} long, value {kind}")
+
+    def map_prong_batches(self, function: Callable[[np.ndarray, np.ndarray, np.ndarray], Any], kind: str, shards: int = 4) -> IndexedFrame:
+        """``value`` from an opaque function of indices, workers and shards, a batch at once."""
+        names = [KEY, "thread_index", "colocation_index"]
+        prong = self.with_prong(shards)
+        return self._with(prong._with(prong.df.select(*names)).map_python(lambda rows: pd.DataFrame({KEY: rows[KEY], "value": function(*(rows[c].to_numpy() for c in names))}), f"{KEY} long, value {kind}").df)
+
     def map_index_python(self, function: Callable[[int], Any], kind: str) -> IndexedFrame:
-        """``value`` from an opaque function of the bare index."""
-        return self.map_python(lambda rows: pd.DataFrame({KEY: rows[KEY], "value": [function(int(i)) for i in rows[KEY]]}), f"{KEY} long, value {kind}")
+        """``map_index_batches`` for a function of one index: a call a row."""
+        return self.map_index_batches(lambda index: [function(i) for i in index.tolist()], kind)
 
     def map_prong_python(self, function: Callable[[int, int, int], Any], kind: str, shards: int = 4) -> IndexedFrame:
-        """``value`` from an opaque function of index, worker and shard."""
-        told = lambda rows: [function(*map(int, r)) for r in zip(rows[KEY], rows["thread_index"], rows["colocation_index"], strict=True)]
-        return self._with(self.with_prong(shards).map_python(lambda rows: pd.DataFrame({KEY: rows[KEY], "value": told(rows)}), f"{KEY} long, value {kind}").df)
+        """``map_prong_batches`` for a function of one index, worker and shard: a call a row."""
+        return self.map_prong_batches(lambda *columns: [function(*row) for row in zip(*(c.tolist() for c in columns), strict=True)], kind, shards)
 
     def filter_python(self, predicate: Callable[[pd.DataFrame], pd.Series]) -> IndexedFrame:
         made = self.map_python(lambda frame: frame[predicate(frame).astype(bool)], self.df.schema)
@@ -159,8 +169,21 @@ class IndexedFrame:
     def is_empty(self) -> bool:
         return self.length == 0
 
+    def for_each_batches(self, effect: Callable[[pd.DataFrame], None]) -> int:
+        """Run ``effect`` over all rows, an Arrow batch at once, and return how many rows that was. A retried task repeats its effects: at least once;
+        the count is of rows, each once."""
+
+        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen = 0
+            for frame in frames:
+                effect(frame)
+                seen += len(frame)
+            yield pd.DataFrame({"seen": [seen]})
+
+        return self.placed().mapInPandas(batches, "seen long").agg(F.sum("seen")).first()[0] or 0
+
     def for_each(self, effect: Callable[[Iterator], None]) -> None:
-        """Run ``effect`` over the rows of each partition. A retried task repeats its effects: at least once."""
+        """Run ``effect`` over the rows of each partition, one by one: for effects that need rows. A retried task repeats its effects: at least once."""
         self.placed().foreachPartition(effect)
 
     def for_each_static(self, effect: Callable[[Iterator], None]) -> None:
