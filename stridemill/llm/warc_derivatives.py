@@ -9,20 +9,28 @@ All of it is one narrow pass without a shuffle, in column expressions but for th
 
 Raw pages come without date and HTTP headers; ``responses`` then assumes them, and the metadata record says so.
 
-Defined results: a null payload is an empty one and has an empty conversion; a null address is empty; pages are read whole; repeated rows give
-repeated records; an empty table gives an empty table; other columns are ignored.
+Response records read from WARC files keep their own ids, dates, headers and digests (``stored_responses``).
+
+Defined results: a null payload is an empty one and has an empty conversion; a null address is empty; a null page id stays null, and such pages of one address and others'
+repeated rows give records with one id; pages are read whole; repeated rows give repeated records; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import html
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -31,10 +39,10 @@ TITLE = "(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = '(?i)<html[^>]* lang="([^"]*)"'
 #: The address of a link with its quotes, double, single or none.
 LINK = "(?i)<a[ \\t\\r\\n/](?:[^>]*?[ \\t\\r\\n/])?href[ \\t\\r\\n]*=[ \\t\\r\\n]*(\"[^\"]*\"|'[^']*'|[^ \\t\\r\\n\"'>]+)"
+#: What a reader doesn't see. A head ends at its end tag or where the body begins; the other elements end at theirs, or with the page.
 HIDDEN = (
-    "(?s)<(?:!--.*?--|[hH][eE][aA][dD][ \\t\\r\\n>].*?</[hH][eE][aA][dD][^>]*|[sS][cC][rR][iI][pP][tT][ \\t\\r\\n>].*?</[sS][cC][rR][iI][pP][tT][^>]*"
-    "|[sS][tT][yY][lL][eE][ \\t\\r\\n>].*?</[sS][tT][yY][lL][eE][^>]*|[nN][oO][sS][cC][rR][iI][pP][tT][ \\t\\r\\n>].*?</[nN][oO][sS][cC][rR][iI][pP][tT][^>]*"
-    "|[tT][eE][mM][pP][lL][aA][tT][eE][ \\t\\r\\n>].*?</[tT][eE][mM][pP][lL][aA][tT][eE][^>]*)>"
+    "(?is)<!--.*?-->|<head(?=[ \\t\\r\\n/>]).*?(?:</head(?=[ \\t\\r\\n/>])[^>]*>|(?=<body[ \\t\\r\\n/>]))"
+    "|<(script|style|noscript|template|title)(?=[ \\t\\r\\n/>]).*?(?:</\\1(?=[ \\t\\r\\n/>])[^>]*>|\\z)"
 )
 #: White space that isn't just one blank; single blanks, which are most, are passed over.
 SPACES = "[ \\t\\r\\n\\f]{2,}|[\\t\\r\\n\\f]"
@@ -91,13 +99,50 @@ def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str
     )
 
 
+_CHARSET = re.compile(r"(?im)^content-type:.*?charset=[\"']?([\w.:-]+)")
+RESPONSE_SCHEMA = "source_id long, record_id string, target_uri string, date string, http_headers string, assumed string, payload string, source_payload_digest string, source_block_digest string"
+
+
+def stored_responses(records: DataFrame) -> DataFrame:
+    """The response records among what ``read`` gives, as ``derivatives`` takes them: with their own id, date, HTTP headers and digests of their bytes.
+
+    The payload is decoded by the charset in its headers, UTF-8 where there's none or an unknown one; bytes that it hasn't become U+FFFD. A record without id gets one
+    from its address and block; ``assumed`` says what lacks. ``source_id`` is null, as files have no number for a record."""
+
+    def parsed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rows = []
+            for pairs, block in zip(batch.column("headers").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                h = dict(pairs)
+                head, gap, payload = block.partition(b"\r\n\r\n")
+                if not gap:
+                    head, payload = b"", block
+                http = (head + gap).decode("latin-1")
+                charset = _CHARSET.search(http)
+                try:
+                    text = payload.decode(charset[1] if charset else "utf-8", "replace")
+                except LookupError:
+                    text = payload.decode("utf-8", "replace")
+                own = h.get("warc-record-id") or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, h.get('warc-target-uri', '') + hashlib.sha256(block).hexdigest())}>"
+                lacks = ", ".join(name for name, there in (("date", h.get("warc-date")), ("http-headers", http), ("record-id", h.get("warc-record-id"))) if not there)
+                rows.append((None, own, h.get("warc-target-uri", ""), h.get("warc-date", ""), http, lacks, text, f"sha256:{hashlib.sha256(payload).hexdigest()}", f"sha256:{hashlib.sha256(block).hexdigest()}"))
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.string()) for k, c in enumerate(columns)], _RESPONSE_NAMES)
+
+    found = records.filter(F.lower(F.try_element_at("headers", F.lit("warc-type"))) == "response")
+    return found.select("headers", F.coalesce("block", F.lit(b"")).alias("block")).mapInArrow(parsed, RESPONSE_SCHEMA)
+
+
+_RESPONSE_NAMES = [x.split()[0] for x in RESPONSE_SCHEMA.split(", ")]
+
+
 def derivatives(records: DataFrame) -> DataFrame:
-    """The two derived records of each response record (columns as ``responses`` gives them)."""
+    """The two derived records of each response record (columns as ``responses`` or ``stored_responses`` gives them)."""
     payload, crlf = F.col("payload"), F.lit("\r\n")
+    told = {"source_payload_digest": digest(payload), "source_block_digest": digest(F.concat("http_headers", payload))}
     sourced = records.select(
         "*",
-        digest(payload).alias("source_payload_digest"),
-        digest(F.concat("http_headers", payload)).alias("source_block_digest"),
+        *(c.alias(name) for name, c in told.items() if name not in records.columns),
         plain_text(payload).alias("plain"),
         F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), lambda u: F.regexp_replace(u, "^[\"']|[\"']$", "")).alias("links"),
     )
@@ -143,8 +188,60 @@ def record(row: DataFrame) -> DataFrame:
 
 
 def write(derived: DataFrame, path: str) -> None:
-    """Write records as WARC files, one per partition. Spark's text sink makes one gzip member of a file, so its readers go from start to end."""
-    record(derived).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Write records as WARC files, one for each partition, each record a gzip member of its own, so that readers can go to any of them by its offset.
+
+    Files are listed in ``path`` only once all of them are whole; what a failed write leaves is in a folder that no reader looks into."""
+    derived.sparkSession.dataSource.register(WarcFiles)
+    record(derived).write.format("warc_files").mode("append").save(path)
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    name: str | None
+
+
+class WarcFiles(DataSource):
+    """Spark's side of ``write``: places are paths or URIs that pyarrow's file systems know."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _WarcWriter(self.options["path"])
+
+
+class _WarcWriter(DataSourceArrowWriter):
+    def __init__(self, place: str):
+        self.place, self.waiting = place, f"_waiting-{uuid.uuid4().hex}"
+
+    def _opened(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.place) if "://" in self.place or self.place.startswith("file:") else (fs.LocalFileSystem(), self.place)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        files, root = self._opened()
+        name, stream = f"part-{uuid.uuid4().hex}.warc.gz", None
+        for batch in iterator:
+            for text in batch.column("record").to_pylist():
+                if stream is None:
+                    files.create_dir(f"{root}/{self.waiting}", recursive=True)
+                    stream = files.open_output_stream(f"{root}/{self.waiting}/{name}", compression=None)
+                stream.write(gzip.compress(text.encode() + b"\r\n\r\n", mtime=0))
+        if stream is not None:
+            stream.close()
+        return _Part(name if stream is not None else None)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, root = self._opened()
+        files.create_dir(root, recursive=True)
+        for name in (m.name for m in messages if m is not None and m.name):
+            files.move(f"{root}/{self.waiting}/{name}", f"{root}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, root = self._opened()
+        if files.get_file_info(f"{root}/{self.waiting}").type != fs.FileType.NotFound:
+            files.delete_dir(f"{root}/{self.waiting}")
 
 
 READ_SCHEMA = "headers map<string,string>, block binary"
