@@ -8,7 +8,8 @@ The curve is fitted on what the lexicon of one half of the labelled rows finds i
 
 Defined results: null and empty texts match nothing and get the curve's value there; texts are read whole; repeated rows are
 scored each; of rows that share a labelled id the text with the smallest digest is learned from; an empty table gives an empty
-table; without labels of both kinds in both halves every score is 0; other columns are ignored.
+table; without labels of both kinds in both halves every score is 0; other columns are ignored. Rows with a null id are scored like
+others and are held out, as no label is theirs.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def score(docs: DataFrame, lexicon: Lexicon, reject: float = 0.7, id_col: str =
     """``doc_id, held_out, score, predicted`` of every document. One pass, no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
     got = text_rows(docs, id_col, text_col).mapInArrow(_feature_batches(model, ["doc_id"]), "doc_id long, score double, f0 double, f1 double, f2 double")
-    return got.select("doc_id", (~in_train()).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"))
+    return got.select("doc_id", F.coalesce(~in_train(), F.lit(True)).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"))
 
 
 def filtered(docs: DataFrame, lexicon: Lexicon, reject: float = 0.7) -> DataFrame:
