@@ -5,7 +5,8 @@ into ranges of the order instead, and written once in it with what each range kn
 a range has its total; totals, one a range, are scanned on the driver into what each range starts from. A narrow pass adds that to the rows
 of the range's first group (second pass). No task ever has more than a range, whatever the keys.
 
-Ranges are cut by the order columns, then by the position of a row in its input partition, so equal rows can be split too.
+Ranges are cut by the order columns, then by the position of a row in its input partition, so equal rows can be split too. Only where rows are ordered
+by long strings do those with equal beginnings stay together.
 """
 
 from __future__ import annotations
@@ -151,14 +152,40 @@ def _names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def in_ranges(df: DataFrame, order: Sequence[str | Column], ranges: int | None = None) -> tuple[DataFrame, str]:
-    """The rows in ranges of the order, one a partition, each sorted; and the name of the column that has the range's number."""
+#: Characters of a string that ranges are cut by.
+CUT = 64
+
+
+def _fixed(kind: T.DataType) -> bool:
+    """Whether values of a type take a bounded number of bytes."""
+    if isinstance(kind, T.StructType):
+        return all(_fixed(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.StringType | T.BinaryType | T.ArrayType | T.MapType | T.VariantType)
+
+
+def in_ranges(df: DataFrame, order: Sequence[str | Column], ranges: int | None = None, by: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """The rows in ranges of the order, one a partition, each sorted; and the name of the column that has the range's number.
+
+    Groups (``by``) come in the order of two hashes of their keys. What ranges are cut by is sampled to the driver, so it's kept short: strings by their first
+    CUT characters, after which no further column cuts, nor does one of no fixed size. Columns that aren't given by name should be short."""
     number, place = _names(df, "range", "place")
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n <= 0:
         raise InvalidParameter("at least one range is needed")
-    dealt = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(n, *order, place).sortWithinPartitions(*order, place)
-    return dealt.drop(place).withColumn(number, F.spark_partition_id()), number
+    told = [x for c in by for x in (F.col(c), F.col(c).isNull())]
+    groups = [F.xxhash64(*told), F.xxhash64(F.lit("second"), *told)] if by else []
+    cut, whole = list(groups), True
+    for c in order:
+        kind = df.schema[c].dataType if isinstance(c, str) else None
+        if kind is None or _fixed(kind):
+            cut.append(c)
+            continue
+        if isinstance(kind, T.StringType | T.BinaryType):
+            cut.append(F.substring(c, 1, CUT))
+        whole = False
+        break
+    dealt = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(n, *(cut or [order[0]]), *([place] if whole else []))
+    return dealt.sortWithinPartitions(*groups, *order, place).drop(place).withColumn(number, F.spark_partition_id()), number
 
 
 def _edged(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool, bool]]:
@@ -183,7 +210,7 @@ def scan(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), r
     if not scans:
         raise InvalidParameter("nothing to scan")
     types = {name: s.type_in(df) for name, s in scans.items()}
-    dealt, number = in_ranges(df, [*by, *order], ranges)
+    dealt, number = in_ranges(df, order, ranges, by)
     head, edge, *local = _names(dealt, "head", "edge", *(f"{name}_here" for name in scans))
     schema = T.StructType([*dealt.schema.fields, T.StructField(head, T.BooleanType()), T.StructField(edge, T.IntegerType()), *(T.StructField(c, t) for c, t in zip(local, types.values(), strict=True))])
     arrow = {name: _arrow_type(t) for name, t in types.items()}
@@ -285,10 +312,13 @@ def scan_python(df: DataFrame, order: Sequence[str | Column], name: str, kind: s
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "task_index", ranges: int | None = None, ties: bool = True) -> DataFrame:
-    """``df`` with a dense number from 0 on, in ``order``. ``ties``: the other columns, as they come, decide between equal rows."""
+    """``df`` with a dense number from 0 on, in ``order``. ``ties``: the other columns, as they come, decide between equal rows: strings by their first
+    CUT characters, and what's longer or of no fixed size by its hash, after all others."""
     named = {c for c in order if isinstance(c, str)}
-    plain = [f.name for f in df.schema.fields if f.name not in named and not isinstance(f.dataType, T.MapType | T.VariantType)]
-    made = scan(df, [*order, *(plain if ties else [])], ranges=ranges, **{name: Scan("count")})
+    plain = [f for f in df.schema.fields if f.name not in named and not isinstance(f.dataType, T.MapType | T.VariantType)]
+    short = [f.name if _fixed(f.dataType) else F.substring(f.name, 1, CUT) for f in plain if _fixed(f.dataType) or isinstance(f.dataType, T.StringType | T.BinaryType)]
+    long = [f.name for f in plain if not _fixed(f.dataType)]
+    made = scan(df, [*order, *([*short, *([F.xxhash64(*long)] if long else [])] if ties else [])], ranges=ranges, **{name: Scan("count")})
     return made.withColumn(name, F.col(name) - 1)
 
 

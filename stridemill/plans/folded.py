@@ -58,11 +58,11 @@ def expanded_props(spark, sf_dir):
     return expand.expanded(events, F.from_json("props", "map<string,string>")).select("event_id", "item_key", "item_value")
 
 
-@_query(f"WITH w AS (SELECT doc_id, count(*) AS n FROM ({_WORDS}) GROUP BY 1), d AS (SELECT doc_id, text, coalesce(n, 0) AS n FROM documents LEFT JOIN w USING (doc_id)) SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id, text ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS first, n AS words FROM d")
+@_query(f"WITH w AS (SELECT doc_id, count(*) AS n FROM ({_WORDS}) GROUP BY 1), d AS (SELECT doc_id, text, coalesce(n, 0) AS n FROM documents LEFT JOIN w USING (doc_id)) SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS first, n AS words FROM d")
 def word_offsets(spark, sf_dir):
     """Where each document's words begin if all documents' words are laid one after another."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("words", F.size(_words(F.col("text"))).cast("long"))
-    return expand.offsets(docs, ["doc_id", "text"], F.col("words")).select("doc_id", "first", "words")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.size(_words(F.col("text"))).cast("long").alias("words"))
+    return expand.offsets(docs, ["doc_id"], F.col("words")).select("doc_id", "first", "words")
 
 
 @_query("SELECT conv_id, turn, length(w) AS size, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations WHERE text IS NOT NULL) GROUP BY 1, 2, 3")

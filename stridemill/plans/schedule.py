@@ -84,10 +84,13 @@ class Weighted:
             raise InvalidParameter("at least one worker is needed")
 
     def sliced(self, df: DataFrame, key: str) -> DataFrame:
-        """The rows with their ``slice_index``."""
+        """The rows with their ``slice_index``. Only keys and costs are scanned; where slices begin is a list as long as there are slices."""
         from ..operators.scans import cost_slices
 
-        return cost_slices(df, [key], self.cost, self.workers * self.factor)
+        made = cost_slices(df.select(key, self.cost.alias("cost")), [key], F.col("cost"), self.workers * self.factor)
+        begins = sorted(r[1] for r in made.groupBy("slice_index").agg(F.min(key)).collect())
+        at = F.size(F.filter(F.array(*(F.lit(b) for b in begins)), lambda b: b <= F.col(key))) - 1 if begins else F.lit(0)
+        return df.withColumn("slice_index", at.cast("long"))
 
     def place(self, df: DataFrame, key: str, n: int) -> DataFrame:
         """Rows of slice k in partition k, ascending: one scan of the costs and one shuffle."""

@@ -62,6 +62,29 @@ def test_no_task_has_more_than_a_range(spark):
     assert "SinglePartition" not in plan and "Window" not in plan
 
 
+def test_long_strings_stay_out_of_what_cuts_ranges(spark):
+    """Ordered by strings that differ late or not at all: whole order kept, and short keys cut."""
+    rng = random.Random(8)
+    rows = [(("x" * 70 if k % 3 else "") + rng.choice("abc"), k, rng.choice(["p", "q" * 500, None])) for k in range(200)]
+    df = spark.createDataFrame(rows, "s string, k int, g string").repartition(3)
+    got = scans.scan(df, ["s", "k"], ranges=5, before=Scan("lag", "k"), n=Scan("count"))
+    want, last = [], None
+    for n, (s, k, g) in enumerate(sorted(rows, key=lambda r: r[:2])):
+        want.append((s, k, g, last, n + 1))
+        last = k
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[4]) == want
+    dealt, _ = scans.in_ranges(df, ["s", "k"], 5)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(s" in plan
+    by = scans.scan(df, ["k"], ["g"], 7, n=Scan("count"))
+    count = {}
+    want = []
+    for _, k, g in rows:
+        count[g] = count.get(g, 0) + 1
+        want.append((k, count[g]))
+    assert sorted(map(tuple, by.select("k", "n").collect())) == want
+
+
 def test_an_associative_fold_of_python(spark):
     df = spark.createDataFrame([(k, chr(97 + k % 26)) for k in range(60)], "k int, c string").repartition(4)
     step = lambda state, rows: ["".join([state or "", *rows["c"].iloc[: i + 1]]) for i in range(len(rows))]
