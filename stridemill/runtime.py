@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -31,6 +33,19 @@ def session(name: str = "stridemill", cores: int | str = "*", config: dict[str,
         raise StartFailed(str(e)) from e
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package's own files to all workers of the session, present and future, where they haven't got it installed. Returns the archive's path."""
+    import stridemill
+
+    root = Path(stridemill.__file__).parent
+    place = Path(tempfile.mkdtemp(prefix="stridemill-package-")) / "stridemill.zip"
+    with zipfile.ZipFile(place, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(place))
+    return str(place)
+
+
 def terminate(spark: SparkSession) -> None:
     """End the session; what runs is cancelled, intermediates are deleted, and a second call does nothing."""
     if not spark.sparkContext._jsc or spark.sparkContext._jsc.sc().isStopped():
