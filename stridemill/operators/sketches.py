@@ -207,15 +207,17 @@ def heavy_hitters(df: DataFrame, value: str, share: float, by: Sequence[str] = (
         raise InvalidParameter("a share is between 0 and 1")
     by = list(by)
     states = written(tree_fold(df, value, HeavyHitters(k or int(2 / share)), by), "heavy")
-    kind = df.schema[value].dataType.simpleString()
-    wanted = read_with(states, lambda s: [(v, s.n) for v, n in s.counts.items() if n + s.error > share * s.n], f"v {kind}, whole long")
-    wanted = wanted.select(*(F.col(c).alias(f"of_{c}") for c in by), "v", "whole")
-    on = F.col(value) == F.col("v")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    kind, taken = df.schema[value].dataType.simpleString(), set(df.columns)
+    own = [next(n for n in (f"{'_' * k}{name}" for k in range(99)) if n not in taken) for name in ("candidate", "whole", *(f"of_{c}" for c in by))]
+    candidate, whole, *of = own
+    wanted = read_with(states, lambda s: [(v, s.n) for v, n in s.counts.items() if n + s.error > share * s.n], f"`{candidate}` {kind}, `{whole}` long")
+    wanted = wanted.select(*(F.col(c).alias(o) for c, o in zip(by, of, strict=True)), candidate, whole)
+    on = F.col(value) == F.col(candidate)
+    for c, o in zip(by, of, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(o))
     # at most 1 / share candidates pass for each group, so they are few beside the rows
-    counted = df.join(wanted, on).groupBy(*by, F.col("v").alias("value"), "whole").agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") > F.col("whole") * share).select(*by, "value", "n")
+    counted = df.select(*by, value).join(wanted, on).groupBy(*by, candidate, whole).agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") > F.col(whole) * share).select(*by, F.col(candidate).alias("value"), "n")
 
 
 def distinct_counts(df: DataFrame, value: str, by: Sequence[str] = (), p: int = 12) -> DataFrame:

@@ -11,10 +11,11 @@ from ..streaming import folds
 from .catalogue import C, _query, _table, _vectors
 
 
-@_query("SELECT user_id AS value, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 0.012 * (SELECT count(*) FROM events)")
-def heavy_users(spark, sf_dir):
-    """Users with more than 1.2 % of all events: candidates by a sketch, then counted."""
-    return sketches.heavy_hitters(_table(spark, sf_dir, "events"), "user_id", 0.012)
+@_query("SELECT CAST(floor(value) AS BIGINT) AS value, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 0.01 * (SELECT count(value) FROM events)")
+def heavy_values(spark, sf_dir):
+    """Whole values that more than 1 % of all events have: candidates by a sketch, then counted."""
+    events = _table(spark, sf_dir, "events").select(F.floor("value").alias("whole"))
+    return sketches.heavy_hitters(events, "whole", 0.01)
 
 
 _WORDS = "SELECT doc_id, lang, unnest(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS w FROM documents"

@@ -25,3 +25,13 @@ def test_workers_get_the_package(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     names = zipfile.ZipFile(done.stdout.split()[-1]).namelist()
     assert "stridemill/runtime.py" in names and all(n.endswith(".py") for n in names)
+
+
+def test_the_prelude_has_what_it_lists(spark):
+    from stridemill import prelude
+
+    got: dict = {}
+    exec("from stridemill.prelude import *", got)
+    assert set(prelude.__all__) <= set(got) and len(set(prelude.__all__)) == len(prelude.__all__)
+    frame = got["IndexedFrame"].from_ordered(spark.createDataFrame([("b",), ("a",)], "v string"), ["v"])
+    assert sorted(map(tuple, frame.df.collect())) == [(0, "a"), (1, "b")]
