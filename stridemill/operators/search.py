@@ -150,11 +150,6 @@ def with_empty(found: DataFrame, queries: DataFrame) -> DataFrame:
     return every.fillna({"best_index": 0, "colocation_index": 0}).withColumn("best_similarity", F.coalesce("best_similarity", F.lit(float("-inf"))))
 
 
-def append_halves(first: int, second: int) -> int:
-    """Which of two halves the next vector goes to: the shorter one, the first when equal."""
-    return 0 if first <= second else 1
-
-
 def appended(halves: tuple[PositionalVector, PositionalVector], more: PositionalVector) -> tuple[PositionalVector, PositionalVector]:
     """Two halves of a corpus with the elements of ``more`` appended one after another, each to the half that is then the shorter.
 
