@@ -134,3 +134,23 @@ def test_prefixes_of_similar_sets_meet():
 def test_no_documents(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").filter(F.lit(False))
     assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 0
+
+
+def test_pairs_at_the_edge_among_closer_dissimilar_copies(spark):
+    """Two documents of similarity 0.80, each with eight truncated copies at 0.797 that are closer by their bits: found with three proposals by each shingle, and with all."""
+    rng, docs, pairs = random.Random(4), [], []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(500)]
+        a, b = (base + [f"g{g}{c}{i}" for i in range(61)] for c in "ab")
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [a, b]
+        for k in range(8):
+            for own in (a, b):
+                cut = rng.randint(0, 430)
+                docs.append(own[:cut] + own[cut + 106 + k % 3 :])
+    sets = [shingles(" ".join(t)) for t in docs]
+    assert all(similar(sets[a], sets[b]) for a, b in pairs) and not similar(sets[0], sets[2]) and not similar(sets[1], sets[3])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    for closest in (shingle_join.CLOSEST, None):
+        component = {r["doc_id"]: r["component_id"] for r in shingle_join.near_duplicates(df, closest=closest).collect()}
+        assert all(component[a] == component[b] for a, b in pairs)
