@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_rows
+from .common import lean, slices, text_rows
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -134,7 +134,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at = batch.schema.get_field_index("text")
         texts = [None if t is None else redact(t) for t in batch.column(at).to_pylist()]
         yield batch.set_column(at, "text", pa.array(texts, pa.string()))
@@ -142,4 +142,4 @@ def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; every row and every other column stays."""
-    return docs.mapInArrow(_redact_batches, docs.schema)
+    return docs.mapInArrow(lean(_redact_batches), docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored, text_rows
+from .common import forget, lean, slices, stored, text_rows
 
 # Look-alike letters of other scripts, digits and signs, and the letters that they stand for.
 _LOOKALIKES = "аa вb мm нh тt кk еe оo рp сc хx уy іi ѕs јj ԁd һh ԛq ԝw ɡg αa εe οo ρp νv κk ιi τt υu 0o 1i 3e 4a 5s 7t @a $s"
@@ -240,8 +240,8 @@ def filtered(docs: DataFrame, lexicon: Lexicon, reject: float = 0.7) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in slices(stream):
             x = np.array([model.value.features(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, 3)
             yield batch.filter(pa.array(model.value.scores(x) < reject))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(lean(batches), docs.schema)
