@@ -32,6 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ SAMPLE, FREQUENT = 20_000, 200_000
 WORDS = 4_000_000
 #: Proposals of a node by each shingle that it shares.
 CLOSEST = 3
+#: Nodes, and shingles of their sets, in a block of a cluster.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 500_000
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -207,6 +210,7 @@ class _Group:
 
     def __init__(self, node: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[bytes]):
         self.node, self.n, self.component = node, n, component
+        self.cluster = np.arange(len(node))  # of each row the first one of its cluster
         size = np.array([len(x) // 8 for x in bits])
         self.rows = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
         self.bits = {w: np.frombuffer(b"".join(bits[k] for k in rows), "<u8").reshape(len(rows), w) for w, rows in self.rows.items()}
@@ -234,6 +238,9 @@ class _Group:
             if closest is None or closest >= len(j):
                 r, c = np.nonzero(~far)
             else:
+                more = np.flatnonzero((~far).sum(axis=1) > closest)
+                r, c = np.nonzero(~far[more])
+                self._unite(a[more[r]], j[c])
                 least[far] = np.iinfo(np.int32).max
                 c = np.argpartition(least, closest - 1, axis=1)[:, :closest]
                 r = np.repeat(np.arange(len(a)), closest)
@@ -243,15 +250,34 @@ class _Group:
             u, v = self.node[a[r]], self.node[j[c]]
             yield np.minimum(u, v), np.maximum(u, v)
 
+    def _unite(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Put the clusters of rows ``x`` and ``y`` together."""
+        x, y = self.cluster[x], self.cluster[y]
+        x, y = np.unique(np.stack([x, y])[:, x != y], axis=1)
+        least = np.arange(len(self.node))
+        while (least[x] != least[y]).any():
+            low = np.minimum(least[x], least[y])
+            np.minimum.at(least, x, low)
+            np.minimum.at(least, y, low)
+            least = least[least]
+        self.cluster = least[self.cluster]
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning edges of the clusters, once ``pairs`` has gone through all rows."""
+        moved = np.flatnonzero(self.cluster != np.arange(len(self.node)))
+        return self.node[self.cluster[moved]], self.node[moved]
+
 
 def _near(closest: int | None):
-    """Pairs that may be similar enough, of rows sorted by shingle."""
+    """Pairs that may be similar enough, of rows sorted by shingle; and as ``rest`` the clusters of nodes that have more than the closest."""
 
     def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(held)
         columns = (np.asarray(group.column(c)).astype(np.int64) for c in ("node", "n", "component"))
-        for u, v in _Group(*columns, group.column("bits").to_pylist()).pairs(closest):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        own = _Group(*columns, group.column("bits").to_pylist())
+        told = ((*pair, rest) for rest, found in ((False, own.pairs(closest)), (True, map(_Group.rest, [own]))) for pair in found)
+        for u, v, rest in told:
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), rest))], ["u", "v", "rest"])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -271,6 +297,52 @@ def _near(closest: int | None):
     return batches
 
 
+def _counted(group: pa.Table) -> pa.Table:
+    """Links that connect the nodes of one pair of blocks (i, j) wherever sets have similarity 0.8 or more."""
+    node, block = (np.asarray(group.column(c)).astype(np.int64) for c in ("node", "block"))
+    label = np.unique(np.asarray(group.column("component")), return_inverse=True)[1]
+    sets = group.column("shingles").combine_chunks()
+    n = np.asarray(pc.list_value_length(sets)).astype(np.int64)
+    code = np.unique(np.asarray(sets.flatten()), return_inverse=True)[1]
+    own = np.split(code, np.cumsum(n)[:-1])
+    bulk = label == np.bincount(label).argmax()
+    first = block == group.column("i")[0].as_py()
+    every, mark, links = np.ones(len(node), bool), np.zeros(len(code), np.uint8), []
+    inside = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    for rows, others in ((~bulk, every),) if inside else ((~bulk & first, ~first), (~bulk & ~first, bulk & first)):
+        rows, others = np.flatnonzero(rows), np.flatnonzero(others)
+        if not len(rows) or not len(others):
+            continue
+        codes, starts = np.concatenate([own[k] for k in others]), np.cumsum(n[others]) - n[others]
+        for a in rows.tolist():
+            open_ = (label[others] != label[a]) & (5 * np.minimum(n[a], n[others]) >= 4 * np.maximum(n[a], n[others]))
+            if not open_.any():
+                continue
+            mark[own[a]] = 1
+            common = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+            mark[own[a]] = 0
+            for b in others[open_ & (5 * common >= 4 * (n[a] + n[others] - common))].tolist():
+                if label[b] != label[a]:
+                    links.append((node[a], node[b]))
+                    label[label == label[b]] = label[a]
+    u, v = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def _settled(members: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Links (u, v) that connect all nodes of a cluster whose sets have similarity 0.8 or more and that are in different components. ``members``: node, cluster, component."""
+    several = members.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    members = stored(members.join(several.select("cluster"), "cluster"), "members")
+    texts = rows.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = stored(members.join(shingle_sets(texts, shingle).withColumnRenamed("doc_id", "node"), "node"), "sets", 2000)
+    share = lambda amount, most: F.ceil(amount / F.lit(most))
+    sizes = sets.groupBy("cluster").agg(F.greatest(share(F.count("*"), BLOCK_NODES), share(F.sum(F.size("shingles")), BLOCK_SHINGLES)).alias("blocks"))
+    dealt = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = copies.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    return pairs.groupBy("cluster", "i", "j").applyInArrow(_counted, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", closest: int | None = CLOSEST) -> DataFrame:
     """``doc_id, component_id`` of every document; component_id is the smallest id that links reach. Ids are unique or null."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id IS NOT NULL")
@@ -286,9 +358,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col:
     now = shared.join(reached, F.col("node") == F.col("k"), "left").select("h", "node", F.coalesce("component", "node").alias("component"))
     groups = now.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     left = now.join(groups.select("h"), "h").join(nodes.select("node", "n", "bits"), "node")
-    near = left.select("h", "node", "n", "component", "bits").repartition("h").sortWithinPartitions("h").mapInArrow(lean(_near(closest)), "u long, v long")
-    more = stored(_links(near, rows, shingle), "links", 2000)
-    whole = stored(components(found.unionAll(more)), "whole")
+    near = left.select("h", "node", "n", "component", "bits").repartition("h").sortWithinPartitions("h").mapInArrow(lean(_near(closest)), "u long, v long, rest boolean")
+    near = stored(near.distinct(), "near")
+    found = found.unionAll(stored(_links(near.filter("NOT rest").select("u", "v"), rows, shingle), "links", 2000))
+    whole = stored(components(found), "whole")
+    crowds = near.filter("rest").select("u", "v")
+    if not crowds.isEmpty():
+        clusters = stored(components(crowds), "clusters")
+        members = clusters.select("node", F.col("component").alias("cluster")).union(clusters.select("component", "component").distinct())
+        now = members.join(whole.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+        whole = stored(components(found.unionAll(stored(_settled(now, rows, shingle), "links", 2000))), "whole")
     labels = nodes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return spread_join(made, labels, "digest").select("doc_id", "component_id")
 
