@@ -6,7 +6,8 @@ where it leaves the least room. When it fits nowhere, the fullest window is emit
 leave with their ids, and groups of neighbouring partitions merge theirs: poured one into the next, fullest first, into full
 sequences, the rest cut into powers of two, which need no padding.
 
-Space is bounded by the open windows per partition and by ``GROUP`` partitions of them in a merge, whatever the input.
+Space is bounded by the open windows per partition, by ``BYTES`` of texts (or one longer text) and ``KEPT`` pieces of them at a time, and by
+``GROUP`` partitions of windows in a merge, whatever the input.
 
 Defined results: null and empty texts are the end token alone; documents of any length are cut; repeated rows and ids are packed as
 separate documents; an empty table gives an empty table; other columns are ignored.
@@ -24,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_rows
+from .common import lean, slices, stored, text_rows
 from .pieces import Pieces
 
 #: Partitions whose leftovers are merged together.
 GROUP = 8
+#: Bytes of texts that a worker takes at once, and pieces whose ids it keeps: two workers stand beside an executor's heap.
+BYTES, KEPT = 2_000_000, 100_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
@@ -39,10 +42,15 @@ _encoders: dict[str, Pieces] = {}
 def encoder(path: str) -> Pieces:
     """The word-end encoder of this worker process."""
     if path not in _encoders:
-        _encoders[path] = Pieces(path, blanks=False)
+        _encoders[path] = Pieces(path, blanks=False, kept=KEPT)
     return _encoders[path]
 
 
+def _forget() -> None:
+    for known in _encoders.values():
+        known.forget()
+
+
 def encoded(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of ids of each text with its end token, and all ids, little-endian 32-bit."""
     n, ids = encoder(path).encode(texts.cast(pa.string()), True)
@@ -119,7 +127,7 @@ def _pack(path: str, end: int, size: int, windows: int, slack: int):
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = TaskContext.get().partitionId()
         packer = Packer(size, windows, slack, here << 32)
-        for batch in slices(stream):
+        for batch in slices(stream, most=BYTES):
             n, ids = encoded(batch.column("text"), path, end)
             stops = np.cumsum(n)
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), (stops - n).tolist(), stops.tolist(), strict=True):
@@ -128,7 +136,6 @@ def _pack(path: str, end: int, size: int, windows: int, slack: int):
                 w[1] = [(d, s, i if i.base is None else i.copy(), t) for d, s, i, t in w[1]]
             yield rows(packer.out)
             packer.out = []
-        encoder(path).forget()  # or an idle worker would hold what it learned through the stages that follow
         left = sorted(packer.open, key=lambda w: -w[0])
         flat = [(d, s, len(i), 0, t, k, o) for k, w in enumerate(left) for o, (d, s, i, t) in enumerate(w[1])]
         cols = list(zip(*flat, strict=True)) or [()] * len(_NAMES)
@@ -159,6 +166,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int, size: int = 4096, windo
     The first pass is written once, as its emitted pieces and its leftovers must be of the same run.
     """
     schema = f"{PIECE_SCHEMA}, source int, ids binary"
-    first = stored(text_rows(docs, id_col, text_col).mapInArrow(_pack(tokenizer_path, end, size, windows, slack), schema), "packed")
+    first = stored(text_rows(docs, id_col, text_col).mapInArrow(lean(_pack(tokenizer_path, end, size, windows, slack), _forget), schema), "packed", batch_bytes=BYTES)
     merged = first.filter("source IS NOT NULL").groupBy(F.expr(f"source div {GROUP}").alias("g")).applyInPandas(_merge(size), PIECE_SCHEMA)
     return first.filter("source IS NULL").select(*_NAMES).unionAll(merged)

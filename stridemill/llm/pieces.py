@@ -2,7 +2,7 @@
 
 Both byte-level and word-end BPE split a text before any merge, so the ids of a text are those of its pieces one after
 another, wherever the cuts fall between two pieces that the tokenizer would have parted anyway. Texts where that
-isn't plain go to the library whole. Each worker keeps the ids of pieces that it has seen, up to ``KEPT`` of them.
+isn't plain go to the library whole. Each worker keeps the ids of pieces that it has seen, up to ``kept`` of them.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 KEPT = 500_000
-#: Letter runs whose ids are kept besides: they serve pieces of the same batch above all.
-CORES_KEPT = 100_000
+#: For so many pieces a letter run's ids are kept besides: they serve pieces of the same batch above all.
+CORE_SHARE = 5
 #: Letters of Latin-1 and ASCII punctuation, whose classes, case and composition no Unicode version changes.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 #: Texts with other white space than single blanks and line ends between other characters.
@@ -40,8 +40,8 @@ def tokenizer(path: str) -> Tokenizer:
 class Pieces:
     """Ids of texts. ``blanks``: whether a blank belongs to the word after it (byte-level BPE) or is dropped (word-end BPE)."""
 
-    def __init__(self, path: str, blanks: bool):
-        self.lib, self.blanks = tokenizer(path), blanks
+    def __init__(self, path: str, blanks: bool, kept: int = KEPT):
+        self.lib, self.blanks, self.kept = tokenizer(path), blanks, kept
         self._line = self.lib.encode("\n", add_special_tokens=False).ids
         self.forget()
 
@@ -65,7 +65,7 @@ class Pieces:
     def _learn(self, words: list[str]) -> None:
         """Encode pieces that have no ids yet: Latin letters with ASCII punctuation after them by the merges alone, the others by the library."""
         sizes, ids = [], []
-        if len(self.cores) > CORES_KEPT:
+        if len(self.cores) > self.kept // CORE_SHARE:
             self.cores.clear()
         for w in words:
             line = self.blanks and w[:1] == "\n"
@@ -117,7 +117,7 @@ class Pieces:
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.index]
-        if self.index and len(self.index) + len(new) > KEPT:
+        if self.index and len(self.index) + len(new) > self.kept:
             self.forget()
             new = distinct
         self._learn(new)
