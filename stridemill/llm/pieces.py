@@ -2,7 +2,9 @@
 
 Both byte-level and word-end BPE split a text before any merge, so the ids of a text are those of its pieces one after
 another, wherever the cuts fall between two pieces that the tokenizer would have parted anyway. Texts where that
-isn't plain go to the library whole. Each worker keeps the ids of pieces that it has seen, up to ``kept`` of them.
+isn't plain go to the library whole. Each worker keeps the ids of pieces that it has seen, up to ``kept`` of them; beyond
+that, those stay which the texts at hand have again. A word-end tokenizer's words are parted further, Latin letters in lower
+case from the ASCII punctuation after them: a word is then learned once, whatever follows it and however it's capitalised.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ KEPT = 500_000
 #: For so many pieces a letter run's ids are kept besides: they serve pieces of the same batch above all.
 CORE_SHARE = 5
 #: Letters of Latin-1 and ASCII punctuation, whose classes, case and composition no Unicode version changes.
-_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", r"[!-/:-@\[-`{-~]*"
+_SIMPLE = re.compile(f"({_LETTERS})({_MARKS})")
 #: Texts with other white space than single blanks and line ends between other characters.
 _ODD_SPACE = re.compile(r"\A\s|\s\Z|\s\s|[^\S \n]")
 
@@ -37,6 +40,16 @@ def tokenizer(path: str) -> Tokenizer:
     return made
 
 
+def _strings(pieces: pa.Array) -> list[str]:
+    return pieces.to_numpy(zero_copy_only=False).tolist()
+
+
+def _taken(sizes: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each of the pieces ``own`` has, and all of them one after another."""
+    size, first = sizes[own], (np.cumsum(sizes) - sizes)[own]
+    return size, ids[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+
+
 class Pieces:
     """Ids of texts. ``blanks``: whether a blank belongs to the word after it (byte-level BPE) or is dropped (word-end BPE)."""
 
@@ -51,15 +64,18 @@ class Pieces:
         self.sizes: list[np.ndarray] = []
         self.ids: list[np.ndarray] = []
 
+    def _merged(self, word: str) -> list[int]:
+        """Ids of one letter run, with its blank if it has one, or of punctuation, from the tokenizer's own merges."""
+        if word.isascii():
+            mapped = _BLANK + word[1:] if word[0] == " " else word
+        else:
+            mapped = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.lib.model.tokenize(mapped)]
+
     def _core(self, word: str) -> list[int]:
-        """Ids of one letter run, with its blank if it has one, from the tokenizer's own merges."""
         got = self.cores.get(word)
         if got is None:
-            if word.isascii():
-                mapped = _BLANK + word[1:] if word[0] == " " else word
-            else:
-                mapped = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-            got = self.cores[word] = [t.id for t in self.lib.model.tokenize(mapped)]
+            got = self.cores[word] = self._merged(word)
         return got
 
     def _learn(self, words: list[str]) -> None:
@@ -70,12 +86,11 @@ class Pieces:
         for w in words:
             line = self.blanks and w[:1] == "\n"
             m = _SIMPLE.fullmatch(w, 1 if line else 0)
-            if m:
+            if m and not self.blanks:  # parted, so letters alone
+                own = self._merged(w)
+            elif m:
                 core, rest = m.groups()
-                if self.blanks:
-                    own = [*self._line, *self._core(core)] if line else self._core(" " + core)
-                else:
-                    own = self._core(core.lower())
+                own = [*self._line, *self._core(core)] if line else self._core(" " + core)
                 if rest:
                     own = own + self._core(rest)
             else:
@@ -108,6 +123,32 @@ class Pieces:
                     parts[k] = ids[a:b]
         return n, np.concatenate(parts) if want_ids and parts else (np.empty(0, np.uint32) if want_ids else None)
 
+    def _keep(self, words: list[str]) -> None:
+        """Forget all pieces but these."""
+        own = np.fromiter((self.index[w] for w in words), np.int64, len(words))
+        sizes, ids = _taken(self.sizes[0], self.ids[0], own)
+        self.index, self.sizes, self.ids = {w: k for k, w in enumerate(words)}, [sizes], [ids]
+
+    def _rows(self, distinct: list[str]) -> np.ndarray:
+        """Where ``sizes`` has each of these pieces; what isn't known is learned."""
+        new = [w for w in distinct if w not in self.index]
+        if self.index and len(self.index) + len(new) > self.kept:
+            self._keep([w for w in distinct if w in self.index])
+        self._learn(new)
+        if len(self.sizes) > 1:
+            self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
+        return np.fromiter((self.index[w] for w in distinct), np.int64, len(distinct))
+
+    def _parted(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them, from those of its letters and its punctuation; words of another kind aren't parted."""
+        got = pc.extract_regex(words, f"^(?P<letters>{_LETTERS})(?P<marks>{_MARKS})$")
+        simple = got.is_valid()
+        letters = pc.if_else(simple, pc.utf8_lower(got.field("letters")), words)
+        parts = pa.concat_arrays([letters, pc.if_else(simple, got.field("marks"), "")]).dictionary_encode()
+        rows = self._rows(_strings(parts.dictionary))[np.asarray(parts.indices)].reshape(2, -1)
+        sizes, ids = _taken(self.sizes[0], self.ids[0], rows.T.ravel())
+        return sizes.reshape(-1, 2).sum(axis=1), ids
+
     def _plain(self, texts: pa.Array, want_ids: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.blanks:  # a piece is a word with the blank or line end before it; the first gets a line end that's taken off again
             split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
@@ -115,16 +156,12 @@ class Pieces:
             split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         bounds = np.asarray(split.offsets)
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.index]
-        if self.index and len(self.index) + len(new) > self.kept:
-            self.forget()
-            new = distinct
-        self._learn(new)
-        if len(self.sizes) > 1:
-            self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        own = np.fromiter((self.index[w] for w in distinct), np.int64, len(distinct))[np.asarray(words.indices)]
-        all_sizes = self.sizes[0]
+        own = np.asarray(words.indices)
+        if self.blanks:
+            own = self._rows(_strings(words.dictionary))[own]
+            all_sizes, all_ids = self.sizes[0], self.ids[0]
+        else:
+            all_sizes, all_ids = self._parted(words.dictionary)
         size = all_sizes[own]
         ends = np.concatenate([[0], np.cumsum(size)])
         starts, stops = ends[bounds[:-1] - bounds[0]], ends[bounds[1:] - bounds[0]]
@@ -133,4 +170,4 @@ class Pieces:
             return stops - starts - drop, np.empty(0, np.uint32), starts + drop
         first = np.concatenate([[0], np.cumsum(all_sizes)])[:-1]
         at = np.arange(ends[-1]) + np.repeat(first[own] - ends[:-1], size)
-        return stops - starts - drop, self.ids[0][at], starts + drop
+        return stops - starts - drop, all_ids[at], starts + drop
