@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import discard
+from .cells import intermediates_of_steps, pulls_by_cells
 from .iterate import iterate
 from .pairs import against_all, by_blocks
 
@@ -21,6 +23,8 @@ SOFTENING = 1e-9
 AXES = ("x", "y", "z")
 #: Pairs that one block of rows and bodies holds at a time: its arrays stay in a core's cache.
 TILE = (64, 512)
+#: Pairs up to which all of them are summed one by one; beyond, far ones go by cells.
+DIRECT_PAIRS = 1 << 32
 _FORCE_SCHEMA = "id long, fx double, fy double, fz double"
 
 
@@ -90,13 +94,32 @@ def _kernel(parts: Iterator[pa.Table], others: pa.Table, fast: bool = False) ->
 def forces(bodies: DataFrame, fast: bool = False, **how) -> DataFrame:
     """(id, fx, fy, fz): the sum over all bodies; a body's own term is exactly zero. ``fast``: with ``fast_inverse_root`` of distances in 32 bits.
 
-    Bodies meet in blocks (``pairs.by_blocks``), which NumPy sums, so no row stands for a pair; sums of blocks are then added.
+    Bodies meet in blocks (``pairs.by_blocks``), which NumPy sums, so no row stands for a pair; sums of blocks are then added. Beyond DIRECT_PAIRS
+    pairs only near bodies meet one by one, and far ones by ``cells``, with the same sums to about 1e-13.
     """
+    bodies = bodies.select("id", *(F.col(c).cast("double").alias(c) for c in (*AXES, "m")))
+    if not fast and (cube := _cube(bodies)):
+        found = pulls_by_cells(bodies, SOFTENING, _pulls, *cube)
+        return found.select(F.col("id").cast("long").alias("id"), *((F.lit(GRAVITY) * F.col("m") * F.col(f"p{a}")).alias(f"f{a}") for a in AXES))
     others = bodies.select(F.col("id").alias("jid"), *(F.col(a).alias(f"j{a}") for a in (*AXES, "m")))
-    found = by_blocks(bodies.select("id", *AXES, "m"), others, "id", "jid", partial(_kernel, fast=fast), _FORCE_SCHEMA, 40, **how)
+    found = by_blocks(bodies, others, "id", "jid", partial(_kernel, fast=fast), _FORCE_SCHEMA, 40, **how)
     return found.groupBy("id").agg(*(F.sum(f"f{a}").alias(f"f{a}") for a in AXES))
 
 
+def _cube(bodies: DataFrame) -> tuple[np.ndarray, float] | None:
+    """The corner and size of a cube with all bodies, if they are more than are summed pair by pair, and each has a finite place and mass."""
+    if bodies.count() ** 2 <= DIRECT_PAIRS:
+        return None
+    finite = [F.abs(a) < float("inf") for a in (*AXES, "m")]
+    ends = [f(a).alias(f"{a}{k}") for k, f in enumerate((F.min, F.max)) for a in AXES]
+    row = bodies.agg(*ends, F.count_if(F.coalesce(finite[0] & finite[1] & finite[2] & finite[3], F.lit(False))).alias("whole"), F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+    if row["whole"] < row["n"] or row["ids"] < row["n"]:
+        return None
+    low, high = (np.array([row[f"{a}{k}"] for a in AXES]) for k in (0, 1))
+    size = float((high - low).max())
+    return (low, size * (1 + 1e-9) or 1.0) if size < 1e100 else None
+
+
 def applied(bodies: DataFrame, pulls: DataFrame) -> DataFrame:
     """Velocities first, then positions with the new velocities."""
     v = {a: F.col(f"v{a}") + F.col(f"f{a}") / F.col("m") * TIME_STEP for a in AXES}
@@ -111,4 +134,15 @@ def step(bodies: DataFrame, blocks: bool = True) -> DataFrame:
 def simulate(bodies: DataFrame, steps: int, write_every: int = 1, blocks: bool = True, place: str | None = None) -> DataFrame:
     """``steps`` steps, with forces in ``blocks`` unless pairs are wanted. State is written to the shared folder as it goes, or plans would grow with the
     steps; a state is deleted once the next is there. With a folder of its own (``place``) the simulation goes on where a lost driver has left it."""
-    return iterate(bodies, lambda state, k: step(state, blocks), steps, place, write_every)
+    taken = iter(range(steps))
+    with intermediates_of_steps() as made:
+
+        def once(state: DataFrame, k: int) -> DataFrame:
+            if next(taken) % write_every == 0:  # what came before is in the state
+                discard(bodies.sparkSession, made)
+            return step(state, blocks)
+
+        try:
+            return iterate(bodies, once, steps, place, write_every)
+        finally:
+            discard(bodies.sparkSession, made)
