@@ -464,6 +464,7 @@ def pulls_by_cells(bodies: DataFrame, softening: float, pulls: Callable, low: np
             places = np.stack([batch.column(c).to_numpy() for c in AXES], 1)
             yield pa.record_batch([*batch.columns, pa.array(bare.codes(places))], names=names)
 
+    bodies = written(bodies, "bodies")  # found again by their places below, which a plan that runs twice may round otherwise
     masses = bodies.select(*AXES, "m").groupBy(*AXES).agg(F.sum("m").alias("m"))
     placed = written(masses.mapInArrow(coded, "x double, y double, z double, m double, code long"), "places")
     tree = _grown(placed, low, size, placed.count(), softening)
